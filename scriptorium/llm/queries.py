@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact, simhash
+from . import decontaminate, exact, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -25,7 +25,14 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_simhash_near_dedup)}
+def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of each document that stand in a window of a benchmark item."""
+    return decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_simhash_near_dedup, op5_benchmark_decontamination)}
+
+_WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
 SQL: dict[str, str] = {
     "op1_exact_dedup": r"""
@@ -34,4 +41,24 @@ SQL: dict[str, str] = {
         ), g AS (SELECT text_sha256, min(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY 1)
         SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, text_sha256 FROM t JOIN g USING (text_sha256)
     """,
+    "op5_benchmark_decontamination": f"""
+        WITH i AS (
+            SELECT item_id, ws, least(13, len(ws)) AS n FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0
+        ), w AS (
+            SELECT DISTINCT item_id, n, array_to_string(ws[s:s + n - 1], ' ') AS window
+            FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS s FROM i)
+        ), d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS ws FROM documents
+        ), dw AS (
+            SELECT r, n, s, array_to_string(ws[s:s + n - 1], ' ') AS window
+            FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM w))
+        ), h AS (SELECT DISTINCT r, s, dw.n, dw.window FROM dw JOIN w ON w.window = dw.window
+        ), c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM h) GROUP BY r
+        ), l AS (
+            SELECT r, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS items_sha256
+            FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM h JOIN w USING (window)) GROUP BY r
+        )
+        SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+            coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
+        FROM d LEFT JOIN c USING (r) LEFT JOIN l USING (r)
+    """,
 }
