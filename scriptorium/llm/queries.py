@@ -45,17 +45,17 @@ SQL: dict[str, str] = {
         WITH i AS (
             SELECT item_id, ws, least(13, len(ws)) AS n FROM (SELECT item_id, {_WORDS} AS ws FROM benchmark) WHERE len(ws) > 0
         ), w AS (
-            SELECT DISTINCT item_id, n, array_to_string(ws[s:s + n - 1], ' ') AS window
+            SELECT DISTINCT item_id, n, array_to_string(ws[s:s + n - 1], ' ') AS win
             FROM (SELECT *, unnest(range(1, len(ws) - n + 2)) AS s FROM i)
         ), d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS ws FROM documents
         ), dw AS (
-            SELECT r, n, s, array_to_string(ws[s:s + n - 1], ' ') AS window
+            SELECT r, n, s, array_to_string(ws[s:s + n - 1], ' ') AS win
             FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS s FROM d, (SELECT DISTINCT n FROM w))
-        ), h AS (SELECT DISTINCT r, s, dw.n, dw.window FROM dw JOIN w ON w.window = dw.window
+        ), h AS (SELECT DISTINCT r, s, dw.n, dw.win FROM dw JOIN w ON w.win = dw.win
         ), c AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(s, s + n)) AS p FROM h) GROUP BY r
         ), l AS (
             SELECT r, count(*) AS n_items, sha256(string_agg(x, ',' ORDER BY x)) AS items_sha256
-            FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM h JOIN w USING (window)) GROUP BY r
+            FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS x FROM h JOIN w USING (win)) GROUP BY r
         )
         SELECT doc_id, CAST(len(ws) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
             coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
