@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship
+
 #: Rows handed to a Python worker at a time; long texts are common, so batches stay small.
 ARROW_ROWS = 500
 
@@ -45,7 +47,8 @@ def stash(df: DataFrame, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bounds the rows, and so the memory, of an Arrow batch."""
+    """Makes ready for Python workers: they can import this package, and an Arrow batch has few rows."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, simhash
+from . import decontaminate, exact, language, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,7 +30,12 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_simhash_near_dedup, op5_benchmark_decontamination)}
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of each document."""
+    return language.predictions(_documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_simhash_near_dedup, op5_benchmark_decontamination, op9_language_id)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
