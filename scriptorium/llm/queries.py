@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, language, simhash
+from . import decontaminate, exact, language, pieces, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,6 +20,11 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact.exact_groups(_documents(spark, sf_dir)).select("doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ids of each document, and whether they decode to its text."""
+    return pieces.round_trip(_documents(spark, sf_dir))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document's SimHash fingerprint and near-duplicate component."""
     return simhash.near_groups(_documents(spark, sf_dir))
@@ -35,7 +40,13 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(_documents(spark, sf_dir))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_exact_dedup, op3_simhash_near_dedup, op5_benchmark_decontamination, op9_language_id)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (
+    op1_exact_dedup,
+    op2_sentencepiece,
+    op3_simhash_near_dedup,
+    op5_benchmark_decontamination,
+    op9_language_id,
+)}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
 
