@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, language, pieces, simhash
+from . import decontaminate, exact, language, licenses, pieces, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -40,12 +40,18 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language.predictions(_documents(spark, sf_dir))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licence phrases and texts in each document."""
+    return licenses.scan(_documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_exact_dedup,
     op2_sentencepiece,
     op3_simhash_near_dedup,
     op5_benchmark_decontamination,
     op9_language_id,
+    op10_license_scan,
 )}
 
 _WORDS = r"""regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"""
@@ -77,4 +83,5 @@ SQL: dict[str, str] = {
             coalesce(items_sha256, sha256('')) AS items_sha256, coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(ws) AS contaminated
         FROM d LEFT JOIN c USING (r) LEFT JOIN l USING (r)
     """,
+    "op10_license_scan": licenses.scan_sql(_WORDS),
 }
