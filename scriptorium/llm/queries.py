@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, language, licenses, pieces, simhash
+from . import decontaminate, exact, language, licenses, pieces, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -30,6 +30,16 @@ def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_groups(_documents(spark, sf_dir))
 
 
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's record, written to archives and read back."""
+    return warc.round_trip(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shard and slot of each document."""
+    return sharding.assign(_documents(spark, sf_dir)).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard", "row_number")
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that stand in a window of a benchmark item."""
     return decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
@@ -49,7 +59,9 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op1_exact_dedup,
     op2_sentencepiece,
     op3_simhash_near_dedup,
+    op4_warc,
     op5_benchmark_decontamination,
+    op6_sharding,
     op9_language_id,
     op10_license_scan,
 )}
@@ -84,4 +96,13 @@ SQL: dict[str, str] = {
         FROM d LEFT JOIN c USING (r) LEFT JOIN l USING (r)
     """,
     "op10_license_scan": licenses.scan_sql(_WORDS),
+    "op4_warc": """
+        WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
+        ), f AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
+        SELECT page_id, payload_bytes, CASE WHEN page_id = last THEN 'response' ELSE 'revisit' END AS record_type,
+            CASE WHEN page_id <> last THEN last END AS refers_to, CAST(NULL AS VARCHAR) AS problem,
+            array_to_string(flatten(list_transform(range(0, 40, 5), lambda k: list_transform([15, 10, 5, 0], lambda s:
+                'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(CAST('0x' || h[k + 1:k + 5] AS INT) >> s) % 32 + 1]))), '') AS payload_digest
+        FROM f
+    """,
 }
