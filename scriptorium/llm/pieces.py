@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import string
+from collections import defaultdict
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -24,8 +25,8 @@ from pyspark.sql import functions as F
 from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words, and pairs of pieces, that a Python worker remembers; it then forgets them all and goes on.
-REMEMBERED = 300_000
+#: Words that a Python worker remembers, and a quarter of the pairs of pieces; it then forgets them all and goes on.
+REMEMBERED = 400_000
 _MARK = "\u2581"
 _models: dict[int, Model] = {}
 
@@ -59,7 +60,13 @@ class Model:
         self.unknown = min(self.scores.values(), default=0.0) - 10.0
         self._split = self._splitter()
         self.known: dict[str, bytes] = {}
-        self.apart: dict[tuple[str, str], bool] = {}
+        self.apart: defaultdict[str, dict[str, bool]] = defaultdict(dict)
+        self.endings: dict = {}
+        for text in self.ids:
+            node = self.endings
+            for c in reversed(text):
+                node = node.setdefault(c, {})
+            node[""] = text
 
     def _splitter(self):
         pairs = {(a, b) for text in self.ids for a, b in zip(text, text[1:])}
@@ -94,17 +101,25 @@ class Model:
                 return parts
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
 
+    def _apart(self, before: str, piece: str) -> bool:
+        """Whether merging leaves the pair as it is; before is empty at the start of a word."""
+        ok = self.apart[before][piece] = self.merged(before + piece) == ([before, piece] if before else [piece])
+        return ok
+
     def _step_bpe(self, word: str, i: int, last: list[str]) -> str:
-        for a in range(max(0, i - self.longest), i):
-            piece = word[a:i]
-            if piece in self.ids or a == i - 1:
-                pair = (last[a], piece)
-                ok = self.apart.get(pair)
-                if ok is None:
-                    ok = self.apart[pair] = self.merged(last[a] + piece) == [x for x in pair if x]
-                if ok:
+        """The last piece of word[:i]: a walk from its end through the trie of reversed pieces."""
+        node, a, apart = self.endings, i, self.apart
+        while a:
+            a -= 1
+            node = node.get(word[a])
+            if node is None:
+                break
+            piece = node.get("")
+            if piece is not None:
+                ok = apart[last[a]].get(piece)
+                if ok or (ok is None and self._apart(last[a], piece)):
                     return piece
-        raise AssertionError(f"no last piece: {word[:i][-40:]!r}")
+        return word[i - 1]  # a character without a piece, spelt in bytes
 
     def _step_unigram(self, word: str, i: int, best: list[float]) -> tuple[float, str]:
         top, chosen = None, ""
@@ -142,7 +157,7 @@ class Model:
         split = [self._split(t or "") for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        if len(self.apart) > REMEMBERED:
+        if sum(map(len, self.apart.values())) > 4 * REMEMBERED:
             self.apart.clear()
         known = self.known
         new = set().union(*split).difference(known) if split else set()
