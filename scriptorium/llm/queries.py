@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, exact, language, licenses, pieces, sharding, simhash, warc
+from . import chat, counts, decontaminate, exact, language, licenses, pieces, sharding, simhash, warc
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,6 +45,16 @@ def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
+def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each conversation, formatted to token ids, written and read back."""
+    return chat.digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's tokens, before and after edits that are counted by what they touch."""
+    return counts.revised(_documents(spark, sf_dir))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The predicted language of each document."""
     return language.predictions(_documents(spark, sf_dir))
@@ -62,6 +72,8 @@ QUERIES: dict[str, Query] = {f.__name__: f for f in (
     op4_warc,
     op5_benchmark_decontamination,
     op6_sharding,
+    op7_chat_format,
+    op8_token_counts,
     op9_language_id,
     op10_license_scan,
 )}
@@ -96,6 +108,7 @@ SQL: dict[str, str] = {
         FROM d LEFT JOIN c USING (r) LEFT JOIN l USING (r)
     """,
     "op10_license_scan": licenses.scan_sql(_WORDS),
+    "op7_chat_format": chat.digests_sql(),
     "op4_warc": """
         WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS payload_bytes, sha1(coalesce(html, '')) AS h FROM pages
         ), f AS (SELECT *, max(page_id) OVER (PARTITION BY h) AS last FROM p)
