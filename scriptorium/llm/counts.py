@@ -65,7 +65,7 @@ class Tree:
         k, start = 1, 0
         while k < self.width:
             k *= 2
-            if at >= start + self.chars[k] and k + 1 - self.width * (k >= self.width) and self.chars[k + 1]:
+            if at >= start + self.chars[k] and self.chars[k + 1]:
                 start += int(self.chars[k])
                 k += 1
         return k - self.width, start
@@ -162,7 +162,7 @@ def count_tokens(docs: DataFrame, ranks: str = bpe.RANKS) -> DataFrame:
 
 
 def apply_edits(state: DataFrame, ranks: str = bpe.RANKS) -> DataFrame:
-    """The state after edits: that of count_tokens with n_edits and recounted, the pre-tokens that were counted anew.
+    """The state after edits: that of count_tokens with n_before (the count before them), n_edits and recounted, the pre-tokens that were counted anew.
 
     state: as count_tokens gives it, with edits, an array of (at, removed, inserted) that apply one after another;
     null is none. Places are characters of the text as the edits before left it, held within it.
@@ -176,27 +176,30 @@ def apply_edits(state: DataFrame, ranks: str = bpe.RANKS) -> DataFrame:
             rows = []
             for doc, text, chars, tokens, edits in zip(*(c.to_pylist() for c in batch.columns)):
                 tree, anew, text = Tree(np.array(chars, np.int64), np.array(tokens, np.int64)), 0, text or ""
+                before = tree.total
                 for e in edits or []:
                     text, tree, n = edit(text, tree, e["at"] or 0, e["removed"] or 0, e["inserted"] or "", count)
                     anew += n
                 own = slice(tree.width, tree.width + tree.n)
-                rows.append((doc, text, tree.chars[own], tree.tokens[own], tree.total, len(edits or []), anew))
-            columns = list(zip(*rows)) or [[] for _ in range(7)]
-            types = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64())
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "text", "chars", "tokens", "n_tokens", "n_edits", "recounted"])
+                rows.append((doc, text, tree.chars[own], tree.tokens[own], tree.total, before, len(edits or []), anew))
+            columns = list(zip(*rows)) or [[] for _ in range(8)]
+            types = (pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types)], names=["doc_id", "text", "chars", "tokens", "n_tokens", "n_before", "n_edits", "recounted"])
 
-    return state.select("doc_id", "text", "chars", "tokens", "edits").mapInArrow(of, f"{_STATE}, n_edits long, recounted long")
+    return state.select("doc_id", "text", "chars", "tokens", "edits").mapInArrow(of, f"{_STATE}, n_before long, n_edits long, recounted long")
 
 
 def revised(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, n_tokens_after, n_edits, recounted, sha256_after: each row of docs counted, then edited three times by a rule.
+    """doc_id, n_tokens, n_tokens_after, n_edits, recounted, sha256_after: each row of docs counted whole, then edited three times by a rule.
 
     An insertion at a third, a deletion of seven characters at the half, and a character replaced at a place that
-    doc_id chooses (null chooses the first).
+    doc_id chooses (null counts as 0). Null texts count as empty; no rows give no rows.
     """
     n = F.length(F.coalesce("text", F.lit(""))).cast("long")
-    rule = [(F.floor(n / 3), 0, " edited"), (F.floor(n / 2), 7, ""), (F.pmod(F.coalesce(F.col("doc_id"), F.lit(0)) * 7919, n + 1), 1, "Ω\n")]
-    edits = F.array(*(F.struct(F.lit(at).cast("long").alias("at") if isinstance(at, int) else at.cast("long").alias("at"), F.lit(k).cast("long").alias("removed"), F.lit(x).alias("inserted")) for at, k, x in rule))
-    state = count_tokens(docs)
-    after = apply_edits(state.withColumn("before", F.col("n_tokens")).withColumn("edits", edits))
-    return after
+    rule = [(F.floor(n / 3), 0, " edited"), (F.floor(n / 2), 7, ""), (F.pmod(F.coalesce("doc_id", F.lit(0)) % 1_000_003 * 7919, n + 1), 1, "Ω\n")]
+    edits = F.array(*(F.struct(at.cast("long").alias("at"), F.lit(k).cast("long").alias("removed"), F.lit(x).alias("inserted")) for at, k, x in rule))
+    after = apply_edits(count_tokens(docs).withColumn("edits", edits))
+    return after.select(
+        "doc_id", F.col("n_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_after"), "n_edits", "recounted",
+        F.sha2(F.col("text").cast("binary"), 256).alias("sha256_after"),
+    )
