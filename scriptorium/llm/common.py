@@ -1,96 +1,20 @@
-"""Plumbing shared by the corpus operators: the shared work folder, joins on hot keys, connected components."""
+"""Plumbing shared by the corpus operators."""
 
 from __future__ import annotations
 
-import atexit
-import contextlib
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql import SparkSession
 
+from ..operators.graph import components, spread_join
 from ..session import ship
+from ..storage import fresh_path, stash, work_folder
+
+__all__ = ["ARROW_ROWS", "components", "fresh_path", "small_batches", "spread_join", "stash", "work_folder"]
 
 #: Rows handed to a Python worker at a time; long texts are common, so batches stay small.
 ARROW_ROWS = 500
 
 
-def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where that is unset."""
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
-def fresh_path(spark: SparkSession, name: str) -> str:
-    """A path below the work folder that nothing else uses; it goes when the driver ends."""
-    path = f"{work_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    atexit.register(_remove, spark, path)
-    return path
-
-
-def _remove(spark: SparkSession, path: str) -> None:
-    with contextlib.suppress(Exception):
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def stash(df: DataFrame, name: str) -> DataFrame:
-    """df as a written table: computed once, lineage cut, safe from lost executors."""
-    spark = df.sparkSession
-    path = fresh_path(spark, name)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Makes ready for Python workers: they can import this package, and an Arrow batch has few rows."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
-
-
-def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which a key may hold any share of left's rows.
-
-    A further key, computed from the others, keeps Spark from reusing the partitioning that an aggregation of
-    right left behind: then both sides come straight from an exchange, and adaptive execution can cut the
-    partition of a hot key into pieces.
-    """
-    mark = F.xxhash64(*keys)
-    return left.withColumn("__mark", mark).join(right.withColumn("__mark", mark), [*keys, "__mark"], how).drop("__mark")
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of an undirected graph with long node ids.
-
-    edges: columns a and b. Returns node, component (the smallest id reachable) for every node with an edge to
-    another. Alternates large-star and small-star steps until the edges no longer change; each step is an
-    aggregation and a spread_join, each round a written table. No round holds a node's neighbours in one task.
-    """
-    now = stash(
-        edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges"
-    )
-    before = _mark_of(now)
-    while before[0]:
-        both = now.union(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
-        large = spread_join(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = stash(large.distinct(), "large_star")
-        least = large.groupBy("a").agg(F.min("b").alias("m"))
-        small = spread_join(large, least, ["a"]).select(F.explode(F.array(
-            F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))
-        )).alias("e")).select("e.*").where("a <> b")
-        now = stash(small.distinct(), "small_star")
-        after = _mark_of(now)
-        if after == before:
-            break
-        before = after
-    return now.select(F.col("a").alias("node"), F.col("b").alias("component"))
-
-
-def _mark_of(edges: DataFrame) -> tuple[int, int]:
-    row = edges.agg(F.count("*").alias("n"), F.expr("bit_xor(xxhash64(a, b))").alias("x")).first()
-    return row["n"], row["x"] or 0
