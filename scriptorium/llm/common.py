@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import SparkSession
 
 from ..operators.graph import components, spread_join
 from ..session import ship
 from ..storage import fresh_path, stash, work_folder
 
-__all__ = ["ARROW_ROWS", "components", "fresh_path", "small_batches", "spread_join", "stash", "work_folder"]
+__all__ = ["ARROW_ROWS", "components", "fresh_path", "lean", "small_batches", "spread_join", "stash", "work_folder"]
 
 #: Rows handed to a Python worker at a time; long texts are common, so batches stay small.
 ARROW_ROWS = 500
@@ -18,3 +23,17 @@ def small_batches(spark: SparkSession) -> None:
     """Makes ready for Python workers: they can import this package, and an Arrow batch has few rows."""
     ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+
+
+def lean(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """of, after which a Python worker, that later tasks use again, gives the memory it has freed back to the system."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from of(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return run

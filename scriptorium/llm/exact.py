@@ -91,7 +91,7 @@ def exact_groups(docs: DataFrame, id_bits: int = 64) -> DataFrame:
     common.small_batches(docs.sparkSession)
     # the tag tells repeated rows apart; it is stable because it is written before it is used
     recipes = common.stash(
-        docs.select("doc_id", "text").mapInArrow(_recipes(id_bits), _RECIPE).withColumn("tag", F.monotonically_increasing_id()), "recipes"
+        docs.select("doc_id", "text").mapInArrow(common.lean(_recipes(id_bits)), _RECIPE).withColumn("tag", F.monotonically_increasing_id()), "recipes"
     )
     chunks = recipes.select(F.explode(F.arrays_zip("ids", "digests")).alias("c")).select("c.ids", "c.digests").distinct()
     clashes = common.stash(

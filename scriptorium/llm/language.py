@@ -107,7 +107,7 @@ def fit(labelled: DataFrame, dimensions: int = DIMENSIONS) -> tuple[list[str], n
     language and trigram, at most SYMBOLS ** 3 a language however many rows there are.
     """
     common.small_batches(labelled.sparkSession)
-    rows = labelled.where("lang is not null and text is not null").select("lang", "text").mapInArrow(_counts, "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    rows = labelled.where("lang is not null and text is not null").select("lang", "text").mapInArrow(common.lean(_counts), "lang string, code int, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
     got = rows.toPandas()
     langs, codes = sorted(got["lang"].unique()), np.unique(got["code"].to_numpy())
     counts = np.zeros((len(codes), len(langs)), np.float32)
@@ -155,7 +155,7 @@ def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray]) -
                 scores.append(float(row[top] / row[row > 0].sum()) if row[top] > 0 else 0.0)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(best, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(of, "doc_id long, lang_pred string, score double")
+    return docs.select("doc_id", "text").mapInArrow(common.lean(of), "doc_id long, lang_pred string, score double")
 
 
 def predictions(docs: DataFrame) -> DataFrame:

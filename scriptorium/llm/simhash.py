@@ -112,10 +112,10 @@ def links(nodes: DataFrame, radius: int = RADIUS, most: int = MOST_IN_BUCKET) ->
     rows = nodes.select("fp", "rep", tables.alias("b")).select("b.*", "fp", "rep")
     large = common.stash(rows.groupBy("t", "key").count().where(F.col("count") > most).select("t", "key"), "large_buckets")
     small = rows.join(large, ["t", "key"], "left_anti").groupBy("t", "key").agg(F.collect_list(F.struct("fp", "rep")).alias("members")).where(F.size("members") > 1)
-    edges = small.select("members").mapInArrow(_forests(radius), "a long, b long")
+    edges = small.select("members").mapInArrow(common.lean(_forests(radius)), "a long, b long")
     if large.isEmpty():
         return edges
-    probes = rows.join(large, ["t", "key"]).select("free", "fp", "rep").mapInArrow(_neighbours, "z long, near boolean, rep long")
+    probes = rows.join(large, ["t", "key"]).select("free", "fp", "rep").mapInArrow(common.lean(_neighbours), "z long, near boolean, rep long")
     # a z meets only fingerprints within two flips of it, so its set stays small however large the bucket was
     met = probes.groupBy("z").agg(F.min(F.when(F.col("near"), F.col("rep"))).alias("b"), F.collect_set("rep").alias("all"))
     return edges.union(met.where("b is not null and size(all) > 1").select(F.explode("all").alias("a"), "b").where("a <> b"))
@@ -130,7 +130,7 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, most: int = MOST_IN_BUCKE
     its row, but names a component only where all its doc_ids are null. No rows give no rows.
     """
     common.small_batches(docs.sparkSession)
-    fps = common.stash(docs.select("doc_id", "text").mapInArrow(_fingerprints, "doc_id long, fp long"), "fingerprints")
+    fps = common.stash(docs.select("doc_id", "text").mapInArrow(common.lean(_fingerprints), "doc_id long, fp long"), "fingerprints")
     nodes = common.stash(fps.groupBy("fp").agg(F.min("doc_id").alias("rep")), "nodes")
     # a group without any doc_id still links its neighbours: it stands under an id of its own, sorted last
     none = F.lit((1 << 63) - 1) - F.pmod("fp", F.lit(1 << 40))
