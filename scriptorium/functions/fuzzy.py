@@ -35,15 +35,14 @@ def sorted_words(text: str) -> str:
     return " ".join(sorted(text.split()))
 
 
-@F.pandas_udf("double")
-def _ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+def _ratios(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([indel(x, y) for x, y in zip(a, b)], dtype="float64")
 
 
 def ratio(spark: SparkSession, a: Column | str, b: Column | str) -> Column:
     """Indel ratio of two columns, 0 to 100."""
     ship(spark)
-    return _ratio(col(a), col(b))
+    return F.pandas_udf(_ratios, "double")(col(a), col(b))
 
 
 def token_sort(c: Column | str) -> Column:
