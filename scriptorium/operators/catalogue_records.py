@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions import values
-from ..functions.text import col, nonempty, strip, title_case, tokens
+from ..functions.text import nonempty, strip, title_case, tokens
 
 SCHEMA = StructType([StructField(f, StringType()) for f in values.FIELDS])
 
@@ -101,5 +101,3 @@ def template(spark) -> DataFrame:
     """A record of the schema, empty but for defaults."""
     return spark.createDataFrame([[values.DEFAULTS.get(f, "") for f in values.FIELDS]], SCHEMA)
 
-
-__all__ = ["SCHEMA", "col", "combine_columns", "enhance", "fully_populated", "name_case", "ordered_for_export", "profile", "summary", "template", "validate"]

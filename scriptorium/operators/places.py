@@ -241,7 +241,10 @@ def name_tokens(names: DataFrame) -> DataFrame:
         cut = F.transform(tokens(F.coalesce(F.col(c), F.lit(""))), lambda w: F.regexp_replace(w, r"""\A[ .,;:"'!?*\-]+|[ .,;:"'!?*\-]+\z""", ""))
         return F.filter(cut, lambda w: (F.length(w) >= 2) & ~w.isin(values.PARTICLES) & w.rlike(r"\A\p{L}"))
 
-    both = F.concat(*(F.transform(words(c), lambda w, k=c: F.struct(F.lit(k).alias("kind"), w.alias("token"))) for c in ("surname", "given")))
+    def tagged(c: str) -> Column:
+        return F.transform(words(c), lambda w: F.struct(F.lit(c).alias("kind"), w.alias("token")))
+
+    both = F.concat(tagged("surname"), tagged("given"))
     return names.select(F.explode(both).alias("x")).groupBy("x.kind", "x.token").agg(F.count("*").alias("n"))
 
 
