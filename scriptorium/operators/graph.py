@@ -22,8 +22,8 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph with long node ids.
 
-    edges: columns a and b. Returns node, component (the smallest id reachable) for every node with an edge to
-    another. Alternates large-star and small-star steps until the edges no longer change; each step is an
+    edges: columns a and b. Returns node, component (the smallest id reachable) for every node that is not the
+    smallest of its own component. Alternates large-star and small-star steps until the edges no longer change; each step is an
     aggregation and a spread_join, each round a written table. No round holds a node's neighbours in one task.
     """
     now = stash(

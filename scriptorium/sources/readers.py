@@ -113,7 +113,8 @@ def gazetteer(spark: SparkSession, path: str, member: str) -> DataFrame:
             for content in batch.column(0).to_pylist():
                 with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as raw:
                     lines = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", "replace"), delimiter="|", quoting=csv.QUOTE_NONE)
-                    at = [(header := next(lines)).index(c) for c in _GAZETTEER]
+                    header = next(lines)
+                    at = [header.index(c) for c in _GAZETTEER]
                     rows: list[tuple] = []
                     for k, x in enumerate(lines):
                         if len(x) >= len(header):
