@@ -23,6 +23,7 @@ def is_noise(line: Column | str) -> Column:
     s = strip(line)
 
     def judged(s: Column) -> Column:
+        # the branches are asked in order, so scraps are listed for short lines only
         scraps = F.regexp_extract_all(s, F.lit("[A-Za-z]+"), 0)
         short = F.size(F.filter(scraps, lambda w: F.length(w) <= 2))
         known = F.length(F.regexp_replace(s, r"[^\p{L}\p{N}]", ""))
@@ -49,16 +50,19 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
     def looked_at(line: Column) -> Column:
-        blank = strip(line) == ""
-        cut = strip_gutter(line)
-        return F.struct((~blank & (cut != line)).alias("stripped"), (~blank & is_noise(cut)).alias("noise"), F.when(blank | is_noise(cut), "").otherwise(cut).alias("line"))
+        def judged(cut: Column) -> Column:
+            return let(~blank & is_noise(cut), lambda noise: F.struct(
+                (~blank & (cut != line)).alias("stripped"), noise.alias("noise"), F.when(noise | ~cut.rlike(f"[^{WS}]"), "").otherwise(cut).alias("line")
+            ))
+
+        blank = ~line.rlike(f"[^{WS}]")
+        return let(strip_gutter(line), judged)
 
     rows = docs.withColumn("__lines", F.transform(lines, looked_at))
-    kept = F.filter(F.transform("__lines", lambda x: F.when(strip(x["line"]) == "", "").otherwise(x["line"])), lambda x: F.lit(True))
-    rows = rows.withColumn("__kept", kept)
+    rows = rows.withColumn("__kept", F.transform("__lines", lambda x: x["line"]))
     joined = F.regexp_replace(F.array_join("__kept", "\n"), _BROKEN, f"$1$2{_KEEP}")
     trimmed = F.regexp_replace(joined, rf"[{WS_IN_LINE}]+(\n|\z)", "$1")
-    blocks = F.filter(F.split(F.replace(trimmed, F.lit(_KEEP), F.lit("")), "\n\n+"), lambda b: strip(b) != "")
+    blocks = F.filter(F.split(F.replace(trimmed, F.lit(_KEEP), F.lit("")), "\n\n+"), lambda b: b.rlike(f"[^{WS}]"))
     paragraphs = F.transform(blocks, lambda b: F.translate(F.regexp_replace(b, r"\A\n+|\n+\z", ""), "\n", " "))
 
     def total(field: str) -> Column:

@@ -11,6 +11,7 @@ from ..functions import fuzzy, values
 from ..functions.phonetic import soundex
 from ..operators import catalogue_records as records
 from ..operators import cleaning, entities, matching, pages, places
+from ..storage import dealt
 from . import oracle as o
 from .inputs import derived, duck
 
@@ -32,6 +33,10 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dealt(_read(spark, sf_dir, "documents"))
+
+
 def _wrapped(docs: DataFrame) -> DataFrame:
     """Texts as a scanner leaves them: a gutter before each fifth line, a blank line behind each eighth word break of a kind."""
     text = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "([a-z]{3}) ([a-z]{2}[^ \n]{2,}) ", "$1 | $2\n"), "\n([A-Z])", "\n\n ~ $1")
@@ -44,21 +49,21 @@ _W = rf"(SELECT doc_id, {o.rx(o.rx(o.rx("coalesce(text, '')", '([a-z]{3}) ([a-z]
 @query(f"WITH {o.cleaned(_W)} SELECT doc_id, n_lines AS original_lines, n_noise AS noise_removed, n_stripped AS artifacts_stripped, n_hyphens AS hyphens_resolved, CAST(len(paragraphs) AS BIGINT) AS output_paragraphs FROM cleaned")
 def ocr_clean_stats(spark, sf_dir):
     """Counters of cleaning, for each document."""
-    rows = cleaning.clean(_wrapped(_read(spark, sf_dir, "documents")))
+    rows = cleaning.clean(_wrapped(_documents(spark, sf_dir)))
     return rows.select("doc_id", *(F.col(f"stats.{c}").cast("long").alias(c) for c in ("original_lines", "noise_removed", "artifacts_stripped", "hyphens_resolved", "output_paragraphs")))
 
 
 @query(f"WITH {o.cleaned(_W)} SELECT doc_id, md5(array_to_string(paragraphs, chr(10) || chr(10))) AS clean_md5 FROM cleaned")
 def ocr_clean_text(spark, sf_dir):
     """Digest of each cleaned text."""
-    return cleaning.clean(_wrapped(_read(spark, sf_dir, "documents"))).select("doc_id", F.md5(F.col("clean_text").cast("binary")).alias("clean_md5"))
+    return cleaning.clean(_wrapped(_documents(spark, sf_dir))).select("doc_id", F.md5(F.col("clean_text").cast("binary")).alias("clean_md5"))
 
 
 @query(f"SELECT doc_id, count(*) AS lines, count(*) FILTER (x) AS noise FROM (SELECT doc_id, {o.noise('s')} AS x FROM (SELECT doc_id, {o.strip(o.gutter('line'))} AS s FROM (SELECT doc_id, unnest(string_split(substring(coalesce(text, ''), 1), chr(10))) AS line FROM documents))) GROUP BY doc_id")
 def ocr_noise_flags(spark, sf_dir):
     """Lines and noise lines of each document."""
     flags = F.transform(F.split(F.coalesce("text", F.lit("")), "\n", -1), lambda x: cleaning.is_noise(cleaning.strip_gutter(x)))
-    return _read(spark, sf_dir, "documents").select("doc_id", flags.alias("f")).select("doc_id", F.size("f").cast("long").alias("lines"), F.size(F.filter("f", lambda x: x)).cast("long").alias("noise"))
+    return _documents(spark, sf_dir).select("doc_id", flags.alias("f")).select("doc_id", F.size("f").cast("long").alias("lines"), F.size(F.filter("f", lambda x: x)).cast("long").alias("noise"))
 
 
 _LIG = "text"
@@ -71,7 +76,7 @@ for _a, _b in cleaning.LIGATURES.items():
 def ocr_repair(spark, sf_dir):
     """Digest of each text, broken by ligatures and rules and repaired."""
     broken = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("fi"), F.lit("ﬁ")), F.lit(". "), F.lit(".   \n--\n\n\n\n"))
-    return _read(spark, sf_dir, "documents").select("doc_id", F.md5(cleaning.repair(broken).cast("binary")).alias("repaired_md5"))
+    return _documents(spark, sf_dir).select("doc_id", F.md5(cleaning.repair(broken).cast("binary")).alias("repaired_md5"))
 
 
 _DENSE = o.rx("coalesce(text, '')", "[" + o.WS + "]")
@@ -84,7 +89,7 @@ _DENSE = o.rx("coalesce(text, '')", "[" + o.WS + "]")
         length({o.rx('text', '[ \n\t]')}) < 100 AS is_scan FROM q""")
 def ocr_quality_gate(spark, sf_dir):
     """Whether the text of each document would pass as a page and as a document, and whether it looks like a scan."""
-    docs = _read(spark, sf_dir, "documents").withColumn("d", cleaning.document_ok("text"))
+    docs = _documents(spark, sf_dir).withColumn("d", cleaning.document_ok("text"))
     why = F.when(F.startswith("d.reason", F.lit("too few")), "few").when(F.startswith("d.reason", F.lit("no ")), "blank").when(F.startswith("d.reason", F.lit("alpha")), "noisy").otherwise("good")
     return docs.select("doc_id", cleaning.page_ok("text").alias("page_ok"), F.col("d.ok").alias("document_ok"), why.alias("reason"), cleaning.is_scan("text").alias("is_scan"))
 
@@ -439,7 +444,7 @@ _PARAS = "string_split(replace(coalesce(text, ''), '. ', '.' || chr(10) || chr(1
 def paragraph_chunks(spark, sf_dir):
     """Chunks of paragraphs up to 400 characters."""
     text = F.replace(F.coalesce("text", F.lit("")), F.lit(". "), F.lit(".\n\n"))
-    rows = _read(spark, sf_dir, "documents").withColumn("c", pages.pack_paragraphs(text, 400))
+    rows = _documents(spark, sf_dir).withColumn("c", pages.pack_paragraphs(text, 400))
     return rows.select("doc_id", F.size("c").cast("long").alias("chunks"), F.md5(F.array_join("c", "|").cast("binary")).alias("chunks_md5"))
 
 

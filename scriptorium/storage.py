@@ -38,3 +38,11 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     path = fresh_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def dealt(df: DataFrame, bytes_each: int = 128 << 20) -> DataFrame:
+    """df dealt out over the cores where it is so small that its files may have fewer row groups than there are cores; larger tables pass as they are."""
+    spark = df.sparkSession
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(2 * cores) if size < cores * bytes_each else df
