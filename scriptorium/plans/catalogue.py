@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy, values
 from ..functions.phonetic import soundex
 from ..operators import catalogue_records as records
-from ..operators import cleaning, entities, matching, pages, places
+from ..operators import cleaning, entities, matching, pages, places, routing
 from ..storage import dealt
 from . import oracle as o
 from .inputs import derived, duck
@@ -540,3 +540,22 @@ def event_windows(spark, sf_dir):
     from ..streaming.ingest import windowed_counts
 
     return windowed_counts(_read(spark, sf_dir, "events"))
+
+
+@query("""SELECT thread_id, sent_at, subject FROM (SELECT *, row_number() OVER (PARTITION BY thread_id ORDER BY sent_at DESC, subject) AS k
+    FROM (SELECT user_id AS thread_id, ts AS sent_at, CAST(event_id AS VARCHAR) AS subject FROM events WHERE event_type IN ('click', 'view')) WHERE sent_at >= TIMESTAMP '2024-01-10') WHERE k = 1""")
+def mail_threads(spark, sf_dir):
+    """The latest message of each thread of two folders."""
+    rows = _read(spark, sf_dir, "events").select(F.col("user_id").alias("thread_id"), F.col("ts").alias("sent_at"), F.col("event_id").cast("string").alias("subject"), "event_type")
+    box = lambda kind: rows.where(F.col("event_type") == kind).drop("event_type")
+    return routing.mail_threads(box("click"), box("view"), F.to_timestamp(F.lit("2024-01-10")))
+
+
+@query(f"""WITH q AS (SELECT doc_id, doc_id // 4 AS doc, len({o.tokens("coalesce(text, '')")}) AS w, length({o.rx(_DENSE, r'\P{L}')}) AS a, length({_DENSE}) AS n FROM documents),
+    k AS (SELECT doc, doc_id, w >= 15 AND n > 0 AND a >= 0.45::DOUBLE * n AND n >= 2.0::DOUBLE * w AS ok FROM q), f AS (SELECT doc, min_by(ok, doc_id) AS first FROM k GROUP BY doc),
+    e AS (SELECT doc, CASE WHEN first AND ok THEN 'quick' ELSE 'slow' END AS engine FROM k JOIN f USING (doc))
+    SELECT doc, CASE WHEN min(engine) = max(engine) THEN min(engine) ELSE 'mixed' END AS method FROM e GROUP BY doc""")
+def ocr_routing(spark, sf_dir):
+    """The engine of each document of four pages."""
+    rows = _documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 4).alias("doc"), F.col("doc_id").alias("page"), F.col("text").alias("quick"), F.col("source").alias("slow"))
+    return routing.document_methods(routing.page_routes(rows))
