@@ -528,7 +528,7 @@ def ingest_stream(spark, sf_dir):
     from ..streaming.ingest import ingest
 
     schema = _read(spark, sf_dir, "documents").schema
-    files = spark.readStream.schema(schema).parquet(f"{sf_dir}/documents.parquet")
+    files = spark.readStream.schema(schema).option("recursiveFileLookup", "true").parquet(f"{sf_dir}/documents.parquet")
     out = fresh_path(spark, "ingest")
     ingest(files.select(F.col("doc_id").cast("string").alias("filename"), "text"), f"{out}/manifest", f"{out}/pages", f"{out}/checkpoint").awaitTermination()
     return spark.read.schema("md5 string, filename string, text string, batch long").parquet(f"{out}/pages").select("md5", "filename")
