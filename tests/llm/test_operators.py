@@ -13,7 +13,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from scriptorium.llm import bpe, chat, counts, decontaminate, exact, language, licenses, pieces, queries, sharding, simhash, warc, words
+from scriptorium.llm import bpe, chat, counts, decontaminate, exact, language, licenses, pieces, queries, sharding, shingles, simhash, warc, words
 
 from ..helpers import DATA, agree
 
@@ -157,6 +157,40 @@ def test_every_pair_within_the_radius_meets_in_a_table():
         assert any(diff & m == 0 for m in masks)
 
 
+# near duplicates of the pipeline
+
+
+def plain_near(rows, least=0.8):
+    """rows: (doc_id, text), distinct ids -> component of each by 5-word shingles."""
+    sets = {}
+    for d, t in rows:
+        ws = (t or "").encode().lower().split()
+        k = min(5, len(ws))
+        sets[d] = {tuple(ws[i : i + k]) for i in range(len(ws) - k + 1)} if ws else set()
+    comp = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and comp[a] != comp[b] and len(sets[a] & sets[b]) >= least * len(sets[a] | sets[b]):
+                low, high = sorted((comp[a], comp[b]))
+                comp = {d: low if c == high else c for d, c in comp.items()}
+    return comp
+
+
+def test_near_copies_of_the_pipeline_equal_brute_force(spark):
+    rng = random.Random(12)
+    base = [" ".join(f"w{rng.randrange(5000)}" for _ in range(300)) for _ in range(6)]
+    edited = lambda t, share: " ".join(w if rng.random() > share else f"z{rng.randrange(5000)}" for w in t.split())
+    texts = base + [edited(rng.choice(base), rng.choice([0.01, 0.02, 0.03, 0.05])) for _ in range(90)] + ["a b c", "A  b c", "a b d", "", None, " "]
+    rows = list(enumerate(texts))
+    want = plain_near(rows)
+    docs = spark.createDataFrame([(d, t, 1) for d, t in rows], "doc_id long, text string, key long")
+    for most in (32, 1):
+        assert {r.doc_id: r.component_id for r in shingles.near_groups(docs, most).collect()} == want
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()}
+    assert kept == {d for d in want if want[d] == d} and kept != {d for d, _ in rows}
+    assert kept != {r.doc_id for r in simhash.representatives(docs).collect()}
+
+
 # 4 WARC
 
 
