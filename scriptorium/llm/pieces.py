@@ -73,8 +73,8 @@ class Model:
         if any(b == " " and a != " " for a, b in pairs):
             raise ValueError("a piece goes on after a space")
         alone = "" if any("\n" in p for p in pairs) else r"\n"
-        marks = "".join(p for p in string.punctuation if not any((p, x) in pairs or (x, p) in pairs for x in string.ascii_letters + string.digits))
-        both = {c for a, b in pairs for c, d in ((a, b), (b, a)) if d in marks and c > "\x7f"}
+        marks = "".join(p for p in string.punctuation + "\r\t" if not any((p, x) in pairs or (x, p) in pairs for x in string.ascii_letters + string.digits))
+        both = {c for a, b in pairs for c, d in ((a, b), (b, a)) if d in marks and c not in marks and c != " "}
         first = f"{alone}|" if alone else ""
         coarse = re.compile(rf"{first} *[^ {alone}]+| +")
         fine = re.compile(rf"{first} *[{re.escape(marks)}]+| *[^ {alone}{re.escape(marks)}]+| +") if marks else coarse

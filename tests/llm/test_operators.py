@@ -84,6 +84,16 @@ def test_pieces_equal_the_library(spark):
     assert all(r.decoded == texts[r.doc_id].replace("▁", " ") for r in both)
 
 
+@needs_models
+def test_pieces_of_crlf_text_equal_the_library():
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    model, rng = pieces.Model(Path(pieces.MODEL).read_bytes()), random.Random(3)
+    texts = ["foo();\r\nbar", "end.\r\nNext", "a\tb;\t.\r"] + ["".join(rng.choices("ab ();.,>}'\"*/\r\n\té", k=rng.randrange(60))) for _ in range(500)]
+    assert [x.tolist() for x in model.encode(texts)] == [sp.encode(t) for t in texts]
+
+
 def test_the_unigram_pass_is_viterbi():
     class Small(pieces.Model):
         def __init__(self):
