@@ -52,6 +52,7 @@ def _trigrams(texts: list[str | None]) -> Iterator[tuple[np.ndarray, np.ndarray]
         own = np.repeat(np.array(at), [len(p) for p in parts])
         keep = sym != 0
         keep[1:] |= sym[:-1] != 0
+        keep[:1] = True  # the boundary before the first letter
         sym, own = sym[keep], own[keep]
         inner = np.flatnonzero(sym[1:-1]) + 1
         return (sym[inner - 1] * SYMBOLS + sym[inner]) * SYMBOLS + sym[inner + 1], own[inner]

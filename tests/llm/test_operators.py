@@ -394,6 +394,18 @@ def test_cosines_are_those_of_the_vectors(spark):
     assert langs == ["en", "fr"] and np.allclose(got, want, rtol=1e-4)
 
 
+def test_trigrams_do_not_depend_on_the_batch(spark):
+    texts = ["A.", "the cat", " - b", None, "x"]
+
+    def of(group):
+        return sorted((k, c) for codes, own in language._trigrams(group) for c, k in zip(codes.tolist(), own.tolist()))
+
+    assert of(texts) == sorted((k, c) for k, t in enumerate(texts) for _, c in of([t])) and {k for k, _ in of(texts)} == {0, 1, 2, 4}
+    docs = spark.createDataFrame([(1, "A.")], "doc_id long, text string")
+    model = language.fit(spark.createDataFrame([("en", "a cat"), ("fr", "le chat")], "lang string, text string"))
+    assert [(r.lang_pred, r.score > 0) for r in language.identify(docs, model).collect()] == [("en", True)]
+
+
 # 10 licences
 
 
