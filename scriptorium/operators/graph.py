@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..storage import stash
+from ..storage import discard, stash
+
+#: Rows of numbers up to which a table is broadcast: 32 MB at four columns of eight bytes.
+MOST_BROADCAST = 1_000_000
 
 
 def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
@@ -19,6 +22,22 @@ def spread_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "
     return left.withColumn("__mark", mark).join(right.withColumn("__mark", mark), [*keys, "__mark"], how).drop("__mark")
 
 
+def hinted(table: DataFrame, most: int = MOST_BROADCAST) -> DataFrame:
+    """table (stashed, of numbers only) marked for a broadcast if a count shows that it has at most that many rows; else as it is, and a join with it shuffles."""
+    if any(kind not in ("boolean", "int", "bigint", "double") for _, kind in table.dtypes):
+        raise ValueError("rows of numbers have a size that is known, others have not")
+    return F.broadcast(table) if table.limit(most + 1).count() <= most else table
+
+
+def with_ids(rows: DataFrame, ids: DataFrame, how: str, key: str = "doc_id") -> DataFrame:
+    """rows whose key is among ids (how left_semi) or not among them (left_anti), all columns as they were; null counts as a value.
+
+    ids: one column, stashed. Up to MOST_BROADCAST of them rows stay where they are; beyond that they are shuffled once.
+    """
+    named = hinted(ids.toDF("__among"))
+    return rows.join(named, rows[key].eqNullSafe(F.col("__among")), how)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of an undirected graph with long node ids.
 
@@ -35,11 +54,13 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))
         large = spread_join(both.where("b > a"), least, ["a"]).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = stash(large.distinct(), "large_star")
+        discard(now)
         least = large.groupBy("a").agg(F.min("b").alias("m"))
         small = spread_join(large, least, ["a"]).select(F.explode(F.array(
             F.struct(F.col("b").alias("a"), F.col("m").alias("b")), F.struct(F.col("a"), F.col("m").alias("b"))
         )).alias("e")).select("e.*").where("a <> b")
         now = stash(small.distinct(), "small_star")
+        discard(large)
         after = _mark_of(now)
         if after == before:
             break

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import re
 import tempfile
 import uuid
 
@@ -11,9 +12,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def work_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made here where that is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or where that is unset and all runs on this machine one made here; a cluster without it is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir names no folder that driver and executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="scriptorium-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -37,7 +40,16 @@ def stash(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    table = spark.read.schema(df.schema).parquet(path)
+    table._stashed_at = path
+    return table
+
+
+def discard(*tables: DataFrame) -> None:
+    """Removes stashed tables that nothing reads any more; others are left alone."""
+    for t in tables:
+        if path := getattr(t, "_stashed_at", None):
+            _remove(t.sparkSession, path)
 
 
 def dealt(df: DataFrame, bytes_each: int = 128 << 20) -> DataFrame:
