@@ -7,22 +7,31 @@ import ctypes
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from ..operators.graph import components, spread_join
+from ..operators.graph import components, hinted, spread_join, with_ids
 from ..session import ship
-from ..storage import fresh_path, stash, work_folder
+from ..storage import discard, fresh_path, stash, work_folder
 
-__all__ = ["ARROW_ROWS", "components", "fresh_path", "lean", "small_batches", "spread_join", "stash", "work_folder"]
+__all__ = ["ARROW_ROWS", "components", "discard", "fresh_path", "hinted", "lean", "one_of_each", "small_batches", "spread_join", "stash", "with_ids", "work_folder"]
 
 #: Rows handed to a Python worker at a time; long texts are common, so batches stay small.
 ARROW_ROWS = 500
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Makes ready for Python workers: they can import this package, and an Arrow batch has few rows."""
+    """Makes ready for Python workers: they can import this package, and an Arrow batch of this session has few rows; a smaller setting is left alone."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(setting)) <= ARROW_ROWS:
+        spark.conf.set(setting, str(ARROW_ROWS))
+
+
+def one_of_each(docs: DataFrame, groups: DataFrame) -> DataFrame:
+    """docs without those whose group (doc_id, component_id) another doc_id stands for, all columns as they were. Rows that share a doc_id stay or go together."""
+    stays = F.max(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return with_ids(docs, stash(groups.groupBy("doc_id").agg(stays.alias("stays")).where("not stays").select("doc_id"), "dropped"), "left_anti")
 
 
 def lean(of: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
