@@ -1,9 +1,10 @@
 """Licence scans by diagonal voting.
 
 Rolling hashes of three words join template positions; a match votes for its diagonal, the document place minus the
-template place. On a diagonal lies a copy without insertions; neighbouring diagonals of a long template merge, for
-copies with a few words put in or left out. A span is verified by the template words that its matches, compared as
-words, cover: all of a phrase, or four fifths of a long text.
+template place. On a diagonal lies a copy without insertions. From each diagonal on which a copy may begin, it merges
+with those around it, no further off than a share of the template, and the matches, compared as words, are verified
+as an alignment: they must follow one another in the document as in the template, with few words put in between, and
+cover all of a phrase, or four fifths of a long text.
 """
 
 from __future__ import annotations
@@ -11,13 +12,14 @@ from __future__ import annotations
 import re
 from typing import NamedTuple
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import common
 from .words import grams, let, words
 
-GRAM, NEAR, COVERED = 3, 8, 0.8
+#: Words of a gram; words that may be put in at one place; shares of a long template that must be covered, and that may be put in altogether.
+GRAM, NEAR, COVERED, PUT_IN = 3, 8, 0.8, 0.2
 #: Template grams up to which their hashes stand in the plan and their positions are broadcast; beyond, both sides shuffle.
 FEW_GRAMS = 50_000
 
@@ -80,12 +82,37 @@ def template_lengths(templates: list[Template]) -> list[int]:
     return found
 
 
+def drifts(templates: list[Template]) -> list[int]:
+    """Words that may be put into a copy of each template: none for phrases."""
+    return [0 if t.phrase else int(PUT_IN * n) for t, n in zip(templates, template_lengths(templates))]
+
+
+def _aligned(pairs: Column, diag: Column, most: Column) -> Column:
+    """Template words that the best chain from a diagonal covers. pairs: array of t, pos.
+
+    The chain takes matches in order of the template: the first on the diagonal, others behind the last one in the
+    document too, with at most NEAR words put in since and most altogether.
+    """
+    start = F.struct(F.lit(-1).alias("t"), F.lit(-1).alias("pos"), F.lit(0).alias("cover"), F.lit(0).alias("put"))
+
+    def step(a: Column, x: Column) -> Column:
+        put = F.greatest(F.lit(0), (x["pos"] - a["pos"]) - (x["t"] - a["t"]))
+        first = (a["cover"] == 0) & (x["pos"] - x["t"] == diag)
+        goes_on = (a["cover"] > 0) & (x["t"] > a["t"]) & (x["pos"] > a["pos"]) & (put <= NEAR) & (a["put"] + put <= most)
+        return F.when(first, F.struct(x["t"].alias("t"), x["pos"].alias("pos"), F.lit(GRAM).alias("cover"), F.lit(0).alias("put"))).when(
+            goes_on, F.struct(x["t"].alias("t"), x["pos"].alias("pos"), (a["cover"] + F.least(F.lit(GRAM), x["t"] - a["t"])).alias("cover"), (a["put"] + put).alias("put"))
+        ).otherwise(a)
+
+    return F.aggregate(F.array_sort(pairs), start, step, lambda a: a["cover"])
+
+
 def scan(docs: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:
     """Licences of each row of docs: doc_id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     docs: doc_id, text; other columns are ignored whatever their names. Null and empty texts have no words, no places
-    and empty labels. Repeated rows each get their result. score is the largest share of a template's words that
-    merged diagonals cover, 0 where none match. No rows give no rows.
+    and empty labels. Repeated rows each get their result. A very long text is read whole, and of it only its matches
+    go on. score is the largest share of a template's words that an aligned chain covers, 0 where none match. No rows
+    give no rows.
     """
     spark = docs.sparkSession
     lengths = template_lengths(templates)
@@ -100,27 +127,27 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:
 
         return F.filter(F.transform(grams(ws, GRAM), place), lambda x: x.isNotNull())
 
-    none = F.array(F.lit(None).cast("struct<pos:int,h:bigint,gram:string>"))
-    own = docs.select("doc_id", F.xxhash64("text").alias("row"), words(F.col("text")).alias("ws")).select(
-        "doc_id", "row", F.size("ws").alias("n_words"), F.explode(F.concat(none, let(F.col("ws"), hits))).alias("x")
+    # of each row one entry carries n_words on, under a hash of its own, so that no key of the join is hot
+    row = F.xxhash64("text").alias("row")
+    own = F.array(F.struct(F.lit(None).cast("int").alias("pos"), F.xxhash64("doc_id", "row", F.lit("own")).alias("h"), F.lit(None).cast("string").alias("gram")))
+    rows = docs.select("doc_id", row, words(F.col("text")).alias("ws")).select(
+        "doc_id", "row", F.size("ws").alias("n_words"), F.explode(F.concat(own, let(F.col("ws"), hits))).alias("x")
     )
-    met = own.select("doc_id", "row", "n_words", "x.*").join(F.broadcast(known) if few else known, ["h", "gram"], "left")
-    met = common.stash(met.where("h is null or tmpl is not null").select("doc_id", "row", "n_words", "pos", "tmpl", "tpos"), "licence_hits")
+    met = rows.select("doc_id", "row", "n_words", "x.*").join(F.broadcast(known) if few else known, ["h", "gram"], "left")
+    met = common.stash(met.where("pos is null or tmpl is not null").select("doc_id", "row", "n_words", "pos", "tmpl", "tpos"), "licence_hits")
 
-    about = F.create_map(*(F.lit(x) for k, t in enumerate(templates) for x in (k, t.label)))
-    length = F.create_map(*(F.lit(x) for k, n in enumerate(lengths) for x in (k, n)))
+    of = lambda found: F.create_map(*(F.lit(x) for k, v in enumerate(found) for x in (k, v)))[F.col("tmpl")]
+    label, length, drift = of([t.label for t in templates]), of(lengths), of(drifts(templates))
     base, phrase = ([k for k, t in enumerate(templates) if getattr(t, f)] for f in ("base", "phrase"))
     # repeated rows vote as one: a diagonal keeps the set of template places
     votes = met.where("tmpl is not null").groupBy("doc_id", "row", "tmpl", (F.col("pos") - F.col("tpos")).alias("diag")).agg(F.collect_set("tpos").alias("at"))
-    order = Window.partitionBy("doc_id", "row", "tmpl").orderBy("diag")
-    near = F.when(F.col("tmpl").isin(phrase), 0).otherwise(NEAR)
-    spans = votes.withColumn("new", F.coalesce((F.col("diag") - F.lag("diag").over(order) > near).cast("int"), F.lit(1)))
-    spans = spans.withColumn("span", F.sum("new").over(order)).groupBy("doc_id", "row", "tmpl", "span").agg(F.min("diag").alias("diag"), F.flatten(F.collect_list("at")).alias("at"))
-    covered = F.size(F.array_distinct(F.flatten(F.transform("at", lambda t: F.sequence(t, t + (GRAM - 1))))))
-    spans = spans.select("doc_id", "row", "tmpl", "diag", (covered / length[F.col("tmpl")]).alias("cover"))
+    most = max([0, *drifts(templates)])
+    around = Window.partitionBy("doc_id", "row", "tmpl").orderBy("diag").rangeBetween(-most, most)
+    near = F.filter(F.collect_list(F.struct("diag", "at")).over(around), lambda v: F.abs(v["diag"] - F.col("diag")) <= drift)
+    pairs = F.flatten(F.transform("near", lambda v: F.transform(v["at"], lambda t: F.struct(t.alias("t"), (v["diag"] + t).alias("pos")))))
+    spans = votes.withColumn("near", near).select("doc_id", "row", "tmpl", "diag", (_aligned(pairs, F.col("diag"), drift) / length).alias("cover"))
     good = F.col("cover") >= F.when(F.col("tmpl").isin(phrase), 1.0).otherwise(COVERED)
     place = F.when(good & F.col("tmpl").isin(base), F.col("diag"))
-    label = about[F.col("tmpl")]
     found = spans.groupBy(F.col("doc_id").alias("__id"), F.col("row").alias("__row")).agg(
         F.count(place).alias("n_base"), F.min(place).alias("first_word"), F.max(place).alias("last_word"),
         F.array_join(F.array_sort(F.collect_set(F.when(place.isNotNull(), label))), ",").alias("base_labels"),
@@ -136,17 +163,20 @@ def scan(docs: DataFrame, templates: list[Template] = TEMPLATES) -> DataFrame:
 
 def scan_sql(word_list: str, templates: list[Template] = TEMPLATES) -> str:
     """scan() of `documents` as DuckDB SQL; word_list is the expression for a text's words."""
-    rows = ", ".join(f"({k}, '{t.label}', {t.base}, {t.phrase}, {n}, $t${t.text}$t$)" for k, (t, n) in enumerate(zip(templates, template_lengths(templates))))
+    rows = ", ".join(f"({k}, '{t.label}', {t.base}, {t.phrase}, {n}, {d}, $t${t.text}$t$)" for k, (t, n, d) in enumerate(zip(templates, template_lengths(templates), drifts(templates))))
+    put = "greatest(0, (x.pos - a.pos) - (x.t - a.t))"
     return f"""
-        WITH t(tmpl, label, base, phrase, n, text) AS (VALUES {rows}),
+        WITH t(tmpl, label, base, phrase, n, drift, text) AS (VALUES {rows}),
         tg AS (SELECT *, array_to_string(ws[tpos + 1:tpos + {GRAM}], ' ') AS gram FROM (SELECT tmpl, ws, unnest(range(len(ws) - {GRAM - 1})) AS tpos FROM (SELECT tmpl, {word_list} AS ws FROM t))),
         d AS (SELECT doc_id, row_number() OVER () AS r, {word_list} AS ws FROM documents),
         dg AS (SELECT r, pos, array_to_string(ws[pos + 1:pos + {GRAM}], ' ') AS gram FROM (SELECT r, ws, unnest(range(len(ws) - {GRAM - 1})) AS pos FROM d)),
-        v AS (SELECT r, tmpl, pos - tpos AS diag, list(DISTINCT tpos) AS places FROM dg JOIN tg USING (gram) GROUP BY ALL),
-        m AS (SELECT v.*, label, base, phrase, n, coalesce(diag - lag(diag) OVER (PARTITION BY r, tmpl ORDER BY diag) > CASE WHEN phrase THEN 0 ELSE {NEAR} END, true) AS new FROM v JOIN t USING (tmpl)),
-        s AS (SELECT *, sum(CAST(new AS INT)) OVER (PARTITION BY r, tmpl ORDER BY diag) AS span FROM m),
-        c AS (SELECT r, tmpl, label, base, phrase, n, min(diag) AS diag, flatten(list(places)) AS places FROM s GROUP BY r, tmpl, label, base, phrase, n, span),
-        e AS (SELECT *, len(list_distinct(flatten(list_transform(places, lambda p: range(p, p + {GRAM}))))) / CAST(n AS DOUBLE) AS cover FROM c),
+        v AS (SELECT DISTINCT r, tmpl, pos - tpos AS diag, tpos AS t, pos FROM dg JOIN tg USING (gram)),
+        p AS (SELECT a.r, a.tmpl, a.diag, label, base, phrase, n, drift, list_sort(list({{'t': v.t, 'pos': v.pos, 'cover': 0, 'put': 0}})) AS pairs
+            FROM (SELECT DISTINCT r, tmpl, diag FROM v) a JOIN t USING (tmpl) JOIN v ON v.r = a.r AND v.tmpl = a.tmpl AND abs(v.diag - a.diag) <= drift GROUP BY ALL),
+        e AS (SELECT *, list_reduce(list_concat([{{'t': -1, 'pos': -1, 'cover': 0, 'put': 0}}], pairs), lambda a, x: CASE
+                WHEN a.cover = 0 AND x.pos - x.t = diag THEN {{'t': x.t, 'pos': x.pos, 'cover': {GRAM}, 'put': 0}}
+                WHEN a.cover > 0 AND x.t > a.t AND x.pos > a.pos AND {put} <= {NEAR} AND a.put + {put} <= drift THEN {{'t': x.t, 'pos': x.pos, 'cover': a.cover + least({GRAM}, x.t - a.t), 'put': a.put + {put}}}
+                ELSE a END).cover / CAST(n AS DOUBLE) AS cover FROM p),
         f AS (
             SELECT r, count(*) FILTER (base AND cover >= 1) AS n_base, min(diag) FILTER (base AND cover >= 1) AS first_word, max(diag) FILTER (base AND cover >= 1) AS last_word,
                 string_agg(DISTINCT label, ',' ORDER BY label) FILTER (base AND cover >= 1) AS base_labels,
