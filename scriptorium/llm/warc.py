@@ -7,27 +7,26 @@ last one states, and then the chunked framing of the payload is taken off.
 
 from __future__ import annotations
 
+import base64
+import hashlib
 import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
 
 SEGMENT, CHUNK, ROLL = 32 << 10, 4 << 10, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
-_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
-def digest(payload: Column) -> Column:
-    """Base32 SHA-1 of a binary column."""
-    hexes = F.sha1(payload)
-    fives = [F.conv(F.substr(hexes, F.lit(1 + k), F.lit(5)), 16, 10).cast("int") for k in range(0, 40, 5)]
-    return F.concat(*(F.substr(F.lit(_ALPHABET), F.shiftright(x, s).bitwiseAND(31) + 1, F.lit(1)) for x in fives for s in (15, 10, 5, 0)))
+def digest(payload: bytes) -> str:
+    """Base32 SHA-1 of a payload."""
+    return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
 
 def open_shared(path: str, mode: str) -> BinaryIO:
@@ -97,13 +96,16 @@ def write_pages(pages: DataFrame, folder: str, segment: int = SEGMENT, roll: int
 
     pages: page_id, url, html; null html is empty. Of records with equal payloads, that with the largest page_id is
     the response and others revisit it; rows that repeat that page_id are responses too. Only archives of tasks that
-    ended well are listed.
+    ended well are listed. Digests that occur once need no partner, so only the repeated ones are joined; where their
+    table is small, pages are not moved.
     """
     spark = pages.sparkSession
     common.small_batches(spark)
-    named = pages.select("page_id", "url", "html", digest(F.coalesce("html", F.lit("")).cast("binary")).alias("digest"))
-    last = named.groupBy("digest").agg(F.max("page_id").alias("refers"))
-    rows = common.spread_join(named, last, ["digest"]).select("page_id", "url", "html", "digest", "refers", (~F.col("page_id").eqNullSafe(F.col("refers"))).alias("revisit"))
+    sha = F.sha1(F.coalesce("html", F.lit("")).cast("binary"))
+    last = pages.select("page_id", sha.alias("sha")).groupBy("sha").agg(F.max("page_id").alias("refers"), F.count("*").alias("n"))
+    last = common.stash(last.where("n > 1").select("sha", "refers"), "repeated")
+    named = pages.select("page_id", "url", "html", sha.alias("sha"))
+    rows = common.spread_join(named, last, ["sha"], "left").select("page_id", "url", "html", "sha", "refers")
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         task = TaskContext.get()
@@ -111,9 +113,10 @@ def write_pages(pages: DataFrame, folder: str, segment: int = SEGMENT, roll: int
         out, path, n, size, row, files = None, "", 0, 0, 0, 0
         for batch in batches:
             done = []
-            for values in zip(*(c.to_pylist() for c in batch.columns)):
+            for page_id, url, html, sha, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 row += 1
-                for record in page_records(*values, f"{task.partitionId()}.{row}", segment):
+                named = base64.b32encode(bytes.fromhex(sha)).decode()
+                for record in page_records(page_id, url, html, named, refers, refers is not None and page_id != refers, f"{task.partitionId()}.{row}", segment):
                     if out is None:
                         path, n, size, files = f"{name}-{files:04d}.warc.gz", 0, 0, files + 1
                         out = open_shared(path, "wb")
@@ -199,38 +202,46 @@ def payload_of(block: bytes) -> tuple[bytes, int | None]:
     return (unchunked(body) if b"chunked" in fields.get(b"transfer-encoding", b"").lower() else body), length
 
 
-def _taken_apart(kind: str, block: bytes) -> tuple[int | None, bytes | None, str | None]:
+def _taken_apart(kind: str, block: bytes, stated: str | None) -> tuple[int | None, bytes | None, str | None, str | None]:
+    """Length, payload, digest and problem. A revisit has the length and digest that it states."""
     try:
         payload, length = payload_of(block)
     except ValueError:
-        return None, None, "broken framing"
-    return (length, None, None) if kind == "revisit" else (len(payload), payload, None)
+        return None, None, stated, "broken framing"
+    if kind == "revisit":
+        return length, None, stated, None
+    own = digest(payload)
+    return len(payload), payload, own, "wrong digest" if stated is not None and own != stated else None
 
 
 def _whole(number: str | None) -> int | None:
     return int(number) if number and number.lstrip("-").isdigit() else None
 
 
-def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for path in batch.column(0).to_pylist():
-            rows, size = [], 0
-            with open_shared(path, "rb") as file:
-                for headers, block in records(file):
-                    kind, segment = headers.get("warc-type"), _whole(headers.get("warc-segment-number"))
-                    if kind not in ("response", "revisit", "continuation"):
-                        continue
-                    origin = headers.get("warc-segment-origin-id") or (headers["warc-record-id"] if segment else None)
-                    length, payload, problem = (None, None, None) if origin else _taken_apart(kind, block)
-                    rows.append((
-                        _whole(headers.get("page-id")), headers.get("warc-target-uri"), kind, _whole(headers.get("refers-to-page-id")), headers.get("warc-payload-digest", "").removeprefix("sha1:") or None,
-                        origin, segment, _whole(headers.get("warc-segment-total-length")), length, payload, block if origin else None, problem,
-                    ))
-                    size += len(block)
-                    if size > 4 << 20:
-                        yield _batch(rows)
-                        rows, size = [], 0
-            yield _batch(rows)
+def _read(payloads: bool):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                rows, size = [], 0
+                with open_shared(path, "rb") as file:
+                    for headers, block in records(file):
+                        kind, segment = headers.get("warc-type"), _whole(headers.get("warc-segment-number"))
+                        if kind not in ("response", "revisit", "continuation"):
+                            continue
+                        origin = headers.get("warc-segment-origin-id") or (headers["warc-record-id"] if segment else None)
+                        stated = headers.get("warc-payload-digest", "").removeprefix("sha1:") or None
+                        length, payload, own, problem = (None, None, stated, None) if origin else _taken_apart(kind, block, stated)
+                        rows.append((
+                            _whole(headers.get("page-id")), headers.get("warc-target-uri"), kind, _whole(headers.get("refers-to-page-id")), own, origin, segment,
+                            _whole(headers.get("warc-segment-total-length")), length, payload if payloads else None, block if origin else None, problem,
+                        ))
+                        size += len(block)
+                        if size > 4 << 20:
+                            yield _batch(rows)
+                            rows, size = [], 0
+                yield _batch(rows)
+
+    return of
 
 
 def _batch(rows: list[tuple]) -> pa.RecordBatch:
@@ -238,44 +249,43 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _READ)], schema=_READ)
 
 
-def _reassembled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        rows = []
-        for origin, parts in zip(*(c.to_pylist() for c in batch.columns)):
-            first = parts[0]
-            block, total = b"".join(p["block"] for p in parts), parts[-1]["total"]
-            length, payload, problem = None, None, None
-            if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)):
-                problem = "missing segment"
-            elif total != len(block):
-                problem = "wrong total length"
-            else:
-                length, payload, problem = _taken_apart(first["record_type"], block)
-            rows.append((first["page_id"], first["url"], first["record_type"], first["refers_to"], first["digest"], origin, None, total, length, payload, None, problem))
-        yield _batch(rows)
-
-
-def read_archives(archives: DataFrame) -> DataFrame:
+def _reassembled(payloads: bool):
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for origin, parts in zip(*(c.to_pylist() for c in batch.columns)):
+                first = parts[0]
+                block, total = b"".join(p["block"] for p in parts), parts[-1]["total"]
+                length, payload, own = None, None, first["digest"]
+                if [p["segment"] for p in parts] != list(range(1, len(parts) + 1)):
+                    problem = "missing segment"
+                elif total != len(block):
+                    problem = "wrong total length"
+                else:
+                    length, payload, own, problem = _taken_apart(first["record_type"], block, first["digest"])
+                yield _batch([(first["page_id"], first["url"], first["record_type"], first["refers_to"], own, origin, None, total, length, payload if payloads else None, None, problem)])
+
+    return of
+
+
+def read_archives(archives: DataFrame, payloads: bool = True) -> DataFrame:
     """Records of the listed archives, segments put together: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload, problem.
 
     archives: path. A revisit has no payload; its length and digest are those that it states. problem is null, or
     `missing segment`, `wrong total length`, `broken framing` or `wrong digest`; then payload is as far as it is
-    known, or null.
+    known, or null. Lengths and digests are of the payloads as they are read; without payloads, these are let go once
+    that is done, and payload is null.
     """
     common.small_batches(archives.sparkSession)
-    files = archives.select("path").distinct()
-    read = files.repartition(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").mapInArrow(_read, _READ_DDL)
+    # dealt by number before anything else, for a list of paths is small however much stands in the archives
+    files = archives.select("path").repartition(int(archives.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path").distinct()
+    read = files.mapInArrow(common.lean(_read(payloads)), _READ_DDL)
     # both parts below come from one reading
     read = common.stash(read, "records")
     parts = read.where("origin is not null").groupBy("origin").agg(F.array_sort(F.collect_list(F.struct(
         "segment", "page_id", "url", "record_type", "refers_to", "digest", "total", "block"
     ))).alias("parts"))
-    whole = read.where("origin is null").unionByName(parts.mapInArrow(_reassembled, _READ_DDL))
-    own = F.when(F.col("payload").isNotNull(), digest(F.col("payload"))).otherwise(F.col("digest"))
-    return whole.select(
-        "page_id", "url", "record_type", "refers_to", F.col("length").alias("payload_bytes"), own.alias("payload_digest"), "payload",
-        F.coalesce("problem", F.when(own != F.col("digest"), "wrong digest")).alias("problem"),
-    )
+    whole = read.where("origin is null").unionByName(parts.mapInArrow(common.lean(_reassembled(payloads)), _READ_DDL))
+    return whole.select("page_id", "url", "record_type", "refers_to", F.col("length").alias("payload_bytes"), F.col("digest").alias("payload_digest"), "payload", "problem")
 
 
 def round_trip(pages: DataFrame) -> DataFrame:
@@ -285,4 +295,4 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """
     spark: SparkSession = pages.sparkSession
     archives = write_pages(pages, common.fresh_path(spark, "warc"))
-    return read_archives(archives).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
+    return read_archives(archives, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "problem")
