@@ -118,14 +118,16 @@ def exact_groups(docs: DataFrame, id_bits: int = 64) -> DataFrame:
 def kept_documents(docs: DataFrame) -> DataFrame:
     """docs with one row for each distinct text, all columns as they were.
 
-    Usually doc_id names a row and the kept ids decide. Where rows share a doc_id (null is a value like others), the
-    text's digest decides with it, and of rows that repeat both one stays.
+    Usually doc_id names a row, and the ids that are dropped decide. Where rows share a doc_id (null is a value like
+    others), the text's digest decides with it, and of rows that repeat both one stays; only these rows are shuffled.
     """
     groups = common.stash(exact_groups(docs), "exact_groups")
-    if groups.groupBy("doc_id").count().where("count > 1 or doc_id is null").isEmpty():
-        return docs.join(groups.where("kept").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    kept = groups.where("kept").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept"))
+    shared = common.stash(groups.groupBy("doc_id").count().where("count > 1 or doc_id is null").select("doc_id"), "shared_ids")
+    plain = common.with_ids(docs, common.stash(groups.where("not kept").select("doc_id").union(shared).distinct(), "dropped"), "left_anti")
+    if shared.isEmpty():
+        return plain
+    kept = common.with_ids(groups.where("kept"), shared, "left_semi").select(F.col("doc_id").alias("__id"), F.col("text_sha256").alias("__kept"))
     text = F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")
-    named = docs.withColumn("__sha", F.sha2(text.cast("binary"), 256))
+    named = common.with_ids(docs, shared, "left_semi").withColumn("__sha", F.sha2(text.cast("binary"), 256))
     found = named.join(kept, named["doc_id"].eqNullSafe(F.col("__id")) & (F.col("__sha") == F.col("__kept")), "left_semi")
-    return found.dropDuplicates(["doc_id", "__sha"]).select(*docs.columns)
+    return plain.unionByName(found.dropDuplicates(["doc_id", "__sha"]).select(*docs.columns))

@@ -143,6 +143,4 @@ def near_groups(docs: DataFrame, radius: int = RADIUS, most: int = MOST_IN_BUCKE
 
 def representatives(docs: DataFrame) -> DataFrame:
     """docs with one document of each component, the one with the smallest doc_id, all columns as they were. Rows that share a doc_id stay or go together; rows without one stay only where their component has no other."""
-    groups = near_groups(docs)
-    kept = groups.where("doc_id <=> component_id").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(kept, docs["doc_id"].eqNullSafe(F.col("__id")), "left_semi")
+    return common.one_of_each(docs, near_groups(docs))
