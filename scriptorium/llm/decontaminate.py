@@ -3,6 +3,8 @@
 Of every WINDOW - GRAM + 1 consecutive gram hashes the least is kept, on both sides: a shared span of WINDOW words
 has a kept hash in common. Documents meet the benchmark by kept hashes; each hit is extended to the windows around
 it, and these are compared word by word. Items shorter than a window are sought by grams of their own length.
+Documents go in blocks of BLOCK words, each with the words behind it that its last window needs, so work and memory
+are in proportion to a text's length however often it is hit.
 """
 
 from __future__ import annotations
@@ -13,7 +15,7 @@ from pyspark.sql import functions as F
 from . import common
 from .words import grams, let, winnow, words
 
-WINDOW, GRAM = 13, 8
+WINDOW, GRAM, BLOCK = 13, 8, 2048
 
 
 def _seeds(ws: Column, short: list[int]) -> Column:
@@ -35,13 +37,25 @@ def _starts(ws: Column, seeds: Column, short: list[int]) -> Column:
     return F.concat(at(GRAM, WINDOW), *(at(k, k) for k in short))
 
 
+def _blocks(text: Column) -> Column:
+    """Blocks of a text's words: at (the first word's place), n_words (of the whole text) and ws; one block where there are no words."""
+
+    def cut(ws: Column) -> Column:
+        n = F.size(ws)
+        starts = F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)) - F.pmod(F.greatest(n - 1, F.lit(0)), F.lit(BLOCK)), F.lit(BLOCK))
+        return F.transform(starts, lambda a: F.struct(a.alias("at"), n.alias("n_words"), F.slice(ws, a + 1, BLOCK + WINDOW - 1).alias("ws")))
+
+    return let(words(text), cut)
+
+
 def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Words of each row of docs that stand in a benchmark window: doc_id, n_words, n_hit, n_items, items_sha256, contaminated.
+    """Words of each row of docs that stand in a benchmark window: doc_id, n_words, n_hit, n_items, items_sha256, contaminated, whole_window.
 
     docs: doc_id, text; items: item_id, text; other columns are ignored whatever their names. Null and empty texts
     have no words; an item without words has no window. A null item_id hits words but is not listed. Repeated rows of
     docs each get their result, repeated items count once. Without items nothing is hit; no documents give no rows.
-    contaminated: n_hit > 0 and 20 * n_hit >= n_words.
+    contaminated: n_hit > 0 and 20 * n_hit >= n_words. whole_window: a window of WINDOW words is hit, not only items
+    that are shorter.
     """
     worded = items.select("item_id", words(F.col("text")).alias("ws")).where(F.size("ws") > 0)
     length = F.least(F.size("ws"), F.lit(WINDOW))
@@ -52,20 +66,23 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     seeds = worded.select(F.explode(F.coalesce(exact, _seeds(F.col("ws"), []))).alias("h")).distinct().withColumn("known", F.lit(True))
     seeds = common.stash(seeds, "seeds")  # written, so that Spark knows its size and broadcasts it only if that is small
 
-    # doc_id and a hash of the text name a row, also where rows repeat a doc_id; a null first carries n_words on
+    # doc_id and a hash of the text name a row, also where rows repeat a doc_id; of each row one entry carries
+    # n_words on whether a seed is met or not, under a hash of its own, so that no key of the join is hot
     row = F.xxhash64("text").alias("row")
-    own = docs.select("doc_id", row, words(F.col("text")).alias("ws")).select(
-        "doc_id", "row", F.size("ws").alias("n_words"),
-        F.explode(F.concat(F.array(F.lit(None).cast("bigint")), let(F.col("ws"), lambda ws: _seeds(ws, short)))).alias("h"),
-    )
-    met = common.stash(own.join(seeds, "h", "left").where("h is null or known"), "met")
-    chosen = met.where("h is not null").groupBy("doc_id", "row").agg(F.collect_set("h").alias("seeds"))
-    chosen = common.stash(chosen.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), "seeds"), "candidates")
-
-    texts = docs.select("doc_id", row, "text")
-    near = texts.join(chosen, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))).select("doc_id", "row", words(F.col("text")).alias("ws"), "seeds")
+    own = docs.select("doc_id", row, F.explode(_blocks(F.col("text"))).alias("b")).select("doc_id", "row", "b.*")
+    entries = let(F.col("ws"), lambda ws: F.transform(_seeds(ws, short), lambda h: F.struct(F.lit(False).alias("own"), h.alias("h"))))
+    first = F.array(F.struct(F.lit(True).alias("own"), F.xxhash64("doc_id", "row", F.lit("own")).alias("h")))
+    own = own.select("doc_id", "row", "at", "n_words", F.explode(F.when(F.col("at") == 0, F.concat(first, entries)).otherwise(entries)).alias("x"))
+    met = common.stash(own.select("doc_id", "row", "at", "n_words", "x.*").join(seeds, "h", "left").where("own or known").drop("known"), "met")
+    chosen = met.where("not own").groupBy("doc_id", "row", "at").agg(F.collect_set("h").alias("seeds"))
+    chosen = common.stash(chosen.select(F.col("doc_id").alias("__id"), F.col("row").alias("__row"), F.col("at").alias("__at"), "seeds"), "candidates")
+
+    same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))
+    texts = docs.select("doc_id", row, "text").join(chosen.select("__id", "__row").distinct(), same, "left_semi")
+    blocks = texts.select("doc_id", "row", F.explode(_blocks(F.col("text"))).alias("b")).select("doc_id", "row", "b.at", "b.ws")
+    near = blocks.join(chosen, same & (F.col("at") == F.col("__at"))).select("doc_id", "row", "at", "ws", "seeds")
     spans = near.select("doc_id", "row", F.explode(F.transform(_starts(F.col("ws"), F.col("seeds"), short), lambda x: F.struct(
-        x["s"].alias("s"), (x["s"] + x["n"]).alias("e"), F.array_join(F.slice("ws", x["s"] + 1, x["n"]), " ").alias("window")
+        (F.col("at") + x["s"]).alias("s"), (F.col("at") + x["s"] + x["n"]).alias("e"), F.array_join(F.slice("ws", x["s"] + 1, x["n"]), " ").alias("window")
     ))).alias("x")).select("doc_id", "row", "x.*").distinct()
     hits = common.stash(common.spread_join(spans, windows.select("window").distinct(), ["window"]), "hits")
 
@@ -74,24 +91,26 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
         lambda a, x: F.struct((a["n"] + F.greatest(F.lit(0), x["e"] - F.greatest(a["to"], x["s"]))).alias("n"), F.greatest(a["to"], x["e"]).alias("to")),
         lambda a: a["n"],
     )
-    counts = hits.groupBy("doc_id", "row").agg(covered.alias("n_hit"))
+    counts = hits.groupBy("doc_id", "row").agg(covered.alias("n_hit"), F.max(F.col("e") - F.col("s") == WINDOW).alias("whole_window"))
     named = common.spread_join(hits.select("doc_id", "row", "window").distinct(), windows, ["window"])
     listed = named.groupBy("doc_id", "row").agg(F.array_sort(F.collect_set(F.col("item_id").cast("string"))).alias("items"))
-    result = met.where("h is null").select("doc_id", "row", "n_words")
+    result = met.where("own").select("doc_id", "row", "n_words")
     for part in (counts, listed):
-        part = part.withColumnsRenamed({"doc_id": "__id", "row": "__row"})
-        same = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("row") == F.col("__row"))
-        result = result.join(part, same, "left").drop("__id", "__row")
+        result = result.join(part.withColumnsRenamed({"doc_id": "__id", "row": "__row"}), same, "left").drop("__id", "__row")
     n_hit = F.coalesce("n_hit", F.lit(0))
     return result.select(
         "doc_id", F.col("n_words").cast("long").alias("n_words"), n_hit.cast("long").alias("n_hit"),
         F.when(F.col("items").isNull(), 0).otherwise(F.size("items")).cast("long").alias("n_items"),
         F.sha2(F.coalesce(F.array_join("items", ","), F.lit("")).cast("binary"), 256).alias("items_sha256"),
-        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"),
+        ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), F.coalesce("whole_window", F.lit(False)).alias("whole_window"),
     )
 
 
 def clean_documents(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """docs without those that contamination() calls contaminated, all columns as they were. Rows that share a doc_id go together."""
-    bad = contamination(docs, items).where("contaminated").select(F.col("doc_id").alias("__id")).distinct()
-    return docs.join(common.stash(bad, "contaminated"), docs["doc_id"].eqNullSafe(F.col("__id")), "left_anti")
+    """docs without benchmark passages, all columns as they were: those with a whole window go, whatever its share of them, and those that contamination() calls contaminated. Rows that share a doc_id go together.
+
+    An item shorter than a window is too short to speak of a passage wherever it occurs, so it drops a document only
+    by its share.
+    """
+    bad = contamination(docs, items).where("contaminated or whole_window").select("doc_id").distinct()
+    return common.with_ids(docs, common.stash(bad, "contaminated"), "left_anti")

@@ -42,7 +42,8 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document that stand in a window of a benchmark item."""
-    return decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    found = decontaminate.contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return found.drop("whole_window")
 
 
 def op7_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
