@@ -45,6 +45,19 @@ def ratio(spark: SparkSession, a: Column | str, b: Column | str) -> Column:
     return F.pandas_udf(_ratios, "double")(col(a), col(b))
 
 
+def pair_scores(spark: SparkSession, skip: Column, a: Column, b: Column, c: Column, d: Column, least: float) -> Column:
+    """score (of a and b) and guard (of c and d, where the score reaches least); nulls where skip holds. One call a row, whatever is made of it."""
+    ship(spark)
+
+    def of(skip: pd.Series, a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
+        scores = [None if k else indel(x, y) for k, x, y in zip(skip, a, b)]
+        guards = [indel(x, y) if s is not None and s >= least else None for s, x, y in zip(scores, c, d)]
+        return pd.DataFrame({"score": pd.Series(scores, dtype="float64"), "guard": pd.Series(guards, dtype="float64")})
+
+    # taken for non-deterministic, so that a filter on its result does not run it a second time
+    return F.pandas_udf(of, "score double, guard double").asNondeterministic()(skip, a, b, c, d)
+
+
 def token_sort(c: Column | str) -> Column:
     """Words of c in order, joined by spaces; the ratio of two of these is the token-sort ratio."""
     return F.array_join(F.array_sort(tokens(c)), " ")

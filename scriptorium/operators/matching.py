@@ -71,6 +71,40 @@ def case_score(name: Column | str) -> Column:
     return F.aggregate(F.transform(tokens(name), of), F.lit(0), lambda a, x: a + x)
 
 
+def moved_suffix(name: Column | str) -> Column:
+    """A name of the people list as it goes to the places, marked for review."""
+    return F.concat(col(name), F.lit("  [moved from people — review LCSH form]"))
+
+
+def split_people(people: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The people (name and more) that are no places, and places (the same columns) with those that are, marked."""
+    is_place = F.coalesce(is_place_name("name"), F.lit(False))
+    moved = people.where(is_place).withColumn("name", moved_suffix("name"))
+    return people.where(~is_place), places.unionByName(moved.select(places.columns))
+
+
+def with_campus(classified: DataFrame) -> DataFrame:
+    """Of classified places those to reconcile: kept ones and campus facilities, under their form as name, with lcsh_status."""
+    return classified.where(F.col("decision").isin("keep", "campus")).withColumn("name", F.col("form")).withColumnRenamed("status", "lcsh_status").drop("decision", "form")
+
+
+def by_status(canonical: DataFrame) -> dict[str, DataFrame]:
+    """Canonical places by status: matched, unresolved, campus."""
+    return {s: canonical.where(F.col("lcsh_status") == s) for s in ("matched", "unresolved", "campus")}
+
+
+def cluster_summary(clustered: DataFrame) -> DataFrame:
+    """merged_groups, variants (rows that another name stands for) and singletons, in one row."""
+    sizes = clustered.groupBy("cluster").count()
+    many = F.col("count") > 1
+    return sizes.agg(F.count_if(many).alias("merged_groups"), F.coalesce(F.sum(F.when(many, F.col("count") - 1)), F.lit(0)).alias("variants"), F.count_if(~many).alias("singletons"))
+
+
+def left_out_blocks(blocked: DataFrame, largest: int = LARGEST_BLOCK) -> DataFrame:
+    """block_key and rows of the blocks that candidate_pairs does not compare, so that a report can name them."""
+    return blocked.groupBy("block_key").agg(F.count("*").alias("rows")).where(F.col("rows") > largest)
+
+
 def blocks(rows: DataFrame, kind: str = "people", profile: str = "full") -> DataFrame:
     """rows (idx, name and more) with norm and block_key, a row for each key."""
     norm = person_form("name", profile) if kind == "people" else place_form("name")
@@ -111,31 +145,26 @@ def match_edges(pairs: DataFrame, kind: str = "people", profile: str = "full") -
     pairs: of candidate_pairs over rows with idx, name, norm, earliest_date, latest_date (dates), and for places
     lcsh_status. A pair in two blocks is there twice.
     """
-    spark = pairs.sparkSession
     a, b = F.col("a"), F.col("b")
-    prefix = is_prefix(a["norm"], b["norm"], 1 if kind == "people" else 2)
-    edge = F.element_at if kind == "people" else None
+    at = -1 if kind == "people" else 0  # the last word of people, the first of places
 
     def guard_word(x: Column) -> Column:
-        return F.coalesce(F.get(tokens(x["norm"]), F.lit(0)) if edge is None else F.try_element_at(tokens(x["norm"]), F.lit(-1)), F.lit(""))
+        return F.coalesce(F.get(tokens(x["norm"]), F.lit(0)) if at == 0 else F.try_element_at(tokens(x["norm"]), F.lit(at)), F.lit(""))
 
     # 200 min / (m + n) bounds the ratio from above; pairs that cannot reach the least threshold are not scored
-    m, n = F.length(fuzzy.token_sort(a["norm"])), F.length(fuzzy.token_sort(b["norm"]))
-    could = 200 * F.least(m, n) >= TEMPORAL * (m + n)
-    rows = pairs.withColumn("__prefix", prefix).where(F.col("__prefix") | could)
-    sure = rows.where("__prefix").select("*", F.lit(100.0).alias("score"), F.lit("prefix").alias("reason"))
-    scored = rows.where("not __prefix").withColumn("score", fuzzy.ratio(spark, fuzzy.token_sort(a["norm"]), fuzzy.token_sort(b["norm"])))
-    scored = scored.where(F.col("score") >= TEMPORAL)
+    rows = pairs.withColumn("__prefix", is_prefix(a["norm"], b["norm"], 1 if kind == "people" else 2))
+    rows = rows.withColumn("__a", fuzzy.token_sort(a["norm"])).withColumn("__b", fuzzy.token_sort(b["norm"]))
+    m, n = F.length("__a"), F.length("__b")
+    rows = rows.where(F.col("__prefix") | (200 * F.least(m, n) >= TEMPORAL * (m + n)))
+    rows = rows.withColumn("__s", fuzzy.pair_scores(pairs.sparkSession, F.col("__prefix"), F.col("__a"), F.col("__b"), guard_word(a), guard_word(b), TEMPORAL))
+    score = F.when(F.col("__prefix"), 100.0).otherwise(F.col("__s.score"))
     threshold = F.when(has_digit(a["name"]) | has_digit(b["name"]), WITH_DIGIT).otherwise(FUZZY)
-    similar = scored.where(F.col("score") >= threshold).withColumn("reason", F.lit("fuzzy"))
-    found = sure.unionByName(similar)
-    if profile == "full":
-        near = scored.where((F.col("score") < threshold) & dates_close(a, b))
-        if kind == "places":
-            near = near.where(~((a["lcsh_status"] == "matched") & (b["lcsh_status"] == "matched") & (a["name"] != b["name"])))
-        near = near.where(fuzzy.ratio(spark, guard_word(a), guard_word(b)) >= TEMPORAL)
-        found = found.unionByName(near.withColumn("reason", F.lit("temporal_proximity")))
-    return found.select(a["idx"].alias("idx_a"), b["idx"].alias("idx_b"), "block_key", "score", "reason")
+    near = F.lit(profile == "full") & (score >= TEMPORAL) & dates_close(a, b) & (F.col("__s.guard") >= TEMPORAL)
+    if kind == "places":
+        near = near & ~F.coalesce((a["lcsh_status"] == "matched") & (b["lcsh_status"] == "matched") & (a["name"] != b["name"]), F.lit(False))
+    reason = F.when(F.col("__prefix"), "prefix").when(score >= threshold, "fuzzy").when(near, "temporal_proximity")
+    judged = rows.select(a["idx"].alias("idx_a"), b["idx"].alias("idx_b"), "block_key", score.alias("score"), reason.alias("reason"))
+    return judged.where("reason is not null")
 
 
 def clusters(rows: DataFrame, edges: DataFrame) -> DataFrame:
@@ -147,9 +176,11 @@ def clusters(rows: DataFrame, edges: DataFrame) -> DataFrame:
 def canonical_rows(clustered: DataFrame) -> DataFrame:
     """A row a cluster: cluster, name, earliest_date, latest_date, files, n_variants, and lcsh_status where there is one.
 
-    The name is that without digits, in most files, with the best capitals, the first in order of idx. files: arrays.
+    The name is that of a confirmed heading (lcsh_status matched) where rows have a status, without digits, in most
+    files, with the best capitals, the first in order of idx. files: arrays.
     """
-    merit = F.struct((~has_digit("name")).cast("int").alias("d"), F.size("files").alias("f"), case_score("name").alias("c"), (-F.col("idx")).alias("i"))
+    known = [F.coalesce((F.col("lcsh_status") == "matched").cast("int"), F.lit(0)).alias("m")] if "lcsh_status" in clustered.columns else []
+    merit = F.struct(*known, (~has_digit("name")).cast("int").alias("d"), F.size("files").alias("f"), case_score("name").alias("c"), (-F.col("idx")).alias("i"))
     best = ["name"] + (["lcsh_status"] if "lcsh_status" in clustered.columns else [])
     heads = clustered.groupBy("cluster").agg(
         F.max_by(F.struct(*best), merit).alias("best"), F.min(F.least("earliest_date", "latest_date")).alias("earliest_date"),

@@ -9,14 +9,14 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import fuzzy, values
-from ..functions.text import WS, col, collapse, tokens
+from ..functions.text import WS, col, collapse, strip, tokens
 from ..session import ship
 from .matching import has_digit, place_form
 
 # Least score of a fuzzy heading, files that an unknown name needs, letters that OCR takes for the first.
 FUZZY, FEWEST_FILES = 85, 2
 FIRST_LETTERS = "a b c d e f g h i l m n o p r s t u v w".split()
-#: Keys up to which a dimension is compared whole with each residual name; a larger one is sought by prefixes.
+#: Keys up to which a dimension is held by each task and compared whole; of a larger one candidates are joined, with the same result.
 MOST_KEYS = 5_000
 _MOVED = rf"(?i)[{WS}]*\[moved from people[^\]]*\]"
 
@@ -84,11 +84,12 @@ def list_lookup(rows: DataFrame, full: DataFrame, bare: DataFrame, name: str, ou
 def best_heading(names: DataFrame, headings: DataFrame, least: float = FUZZY) -> DataFrame:
     """name, heading: the heading (key, heading, ord) whose key is most like a name's comparison form, the first of equals; null below least.
 
-    names: distinct name. The dimension is held whole by each task: beyond MOST_KEYS keys it is refused.
+    names: distinct name.
     """
     spark = names.sparkSession
+    forms = names.select("name", place_form("name").alias("form"))
     if headings.limit(MOST_KEYS + 1).count() > MOST_KEYS:
-        raise ValueError(f"more than {MOST_KEYS} keys: use prefix_heading")
+        return _best_of_many(forms, headings, least)
     keys = [(r.key, r.heading) for r in headings.orderBy("ord").collect()]  # at most MOST_KEYS
     ship(spark)
 
@@ -104,7 +105,32 @@ def best_heading(names: DataFrame, headings: DataFrame, least: float = FUZZY) ->
                 found.append(best if top >= least else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], names=["name", "heading"])
 
-    return names.select("name", place_form("name").alias("form")).mapInArrow(of, "name string, heading string")
+    return forms.mapInArrow(of, "name string, heading string")
+
+
+def _best_of_many(forms: DataFrame, headings: DataFrame, least: float) -> DataFrame:
+    """best_heading by an equi-join.
+
+    At the least ratio a form of m characters and a key of n differ by (1 - least / 100) (m + n) insertions and
+    deletions at most, with n at most m (200 / least - 1). Cut into one piece more than that, the form has a piece that
+    the key holds unbroken; forms meet keys by pieces.
+    """
+    if least < FUZZY:
+        raise ValueError(f"pieces are of three characters at most from a ratio of {FUZZY} on")
+    m = F.length("form")
+    asked = forms.where((F.col("form") != "") & (F.size(tokens("form")) <= 2))
+    edits = F.floor((1 - least / 100) * (200 / least) * m + 1e-9)
+    n = F.least(edits + 1, m)
+    cut = lambda i: F.floor(i * m / n).cast("int")
+    pieces = F.transform(F.sequence(F.lit(0).cast("long"), n - 1), lambda i: F.substr("form", cut(i) + 1, cut(i + 1) - cut(i)))
+    size = F.length("key")
+    grams = F.flatten(F.transform(F.sequence(F.lit(1), F.least(F.lit(3), size)), lambda k: F.transform(F.sequence(F.lit(1), size - k + 1), lambda i: F.substr("key", i, k))))
+    index = headings.where("key <> ''").select("key", "heading", "ord", F.explode(F.array_distinct(grams)).alias("piece"))
+    met = asked.select("name", "form", F.explode(F.array_distinct(pieces)).alias("piece")).join(index, "piece")
+    met = met.where(200 * F.least(m, size) >= least * (m + size)).select("name", "form", "key", "heading", "ord").distinct()
+    scored = met.withColumn("score", fuzzy.ratio(forms.sparkSession, "form", "key")).where(F.col("score") >= least)
+    best = scored.groupBy("name").agg(F.max_by("heading", F.struct("score", -F.col("ord"))).alias("heading"))
+    return forms.select("name").join(best, "name", "left")
 
 
 def prefix_heading(names: DataFrame, full: DataFrame, bare: DataFrame, least: float = FUZZY, overrides: dict[str, str] | None = None) -> DataFrame:
@@ -210,6 +236,7 @@ def nearby(gazetteer: DataFrame, lat: float, lon: float, radius: float, classes:
     """
     classes = classes or values.FEATURE_CLASSES
     la, lo = (F.expr(f"try_cast({c} AS double)") for c in ("prim_lat_dec", "prim_long_dec"))
+    gazetteer = gazetteer.withColumns({c: strip(c) for c in ("feature_class", "state_name")})
     rows = gazetteer.where(F.col("feature_class").isin(classes)).withColumn("__la", la).withColumn("__lo", lo).where("__la is not null and __lo is not null")
     rows = rows.where(F.abs(F.col("__la") - lat) <= radius / 69.0 + 0.01).withColumn("distance", miles(F.lit(lat), F.lit(lon), F.col("__la"), F.col("__lo"))).where(F.col("distance") <= radius)
     code = F.try_element_at(F.create_map(*(F.lit(x) for p in values.STATE_CODES.items() for x in p)), F.col("state_name"))
@@ -252,5 +279,10 @@ def common_tokens(counted: DataFrame, least: int = 5) -> DataFrame:
     return counted.where(F.col("n") >= least)
 
 
+def token_cardinalities(counted: DataFrame, thresholds: tuple[int, ...] = (2, 5, 10, 20)) -> DataFrame:
+    """kind, words, and at_least_k for each threshold: how many words of a kind occur that often."""
+    return counted.groupBy("kind").agg(F.count("*").alias("words"), *(F.count_if(F.col("n") >= k).alias(f"at_least_{k}") for k in thresholds))
+
+
 def empty_index(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([], "key string, heading string, ord long")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -11,27 +9,13 @@ from ..functions import fuzzy, values
 from ..functions.phonetic import soundex
 from ..operators import catalogue_records as records
 from ..operators import cleaning, entities, matching, pages, places, routing
-from ..storage import dealt
+from ..storage import dealt, stash
 from . import oracle as o
 from .inputs import derived, duck
+from .registry import QUERIES, SQL, query
+from .registry import read as _read
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def keep(f):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
-
-    return keep
-
-
-def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
+__all__ = ["QUERIES", "SQL"]
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt(_read(spark, sf_dir, "documents"))
@@ -188,7 +172,7 @@ def candidate_pairs(spark, sf_dir):
 
 def _edges(spark, sf_dir):
     rows = _people(spark, sf_dir)
-    return rows, matching.match_edges(matching.candidate_pairs(matching.blocks(rows)))
+    return rows, stash(matching.match_edges(matching.candidate_pairs(matching.blocks(rows))), "match_edges")
 
 
 @query(f"WITH {_EDGES} SELECT idx_a, idx_b, block_key, round(score, 6) AS score, reason FROM edges")
@@ -559,3 +543,6 @@ def ocr_routing(spark, sf_dir):
     """The engine of each document of four pages."""
     rows = _documents(spark, sf_dir).select(F.floor(F.col("doc_id") / 4).alias("doc"), F.col("doc_id").alias("page"), F.col("text").alias("quick"), F.col("source").alias("slow"))
     return routing.document_methods(routing.page_routes(rows))
+
+
+from . import files, reconcile, summaries  # noqa: E402, F401  they register their queries

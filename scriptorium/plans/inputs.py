@@ -26,6 +26,28 @@ DERIVED = {
             CASE WHEN p_partkey % 3 = 0 THEN 2 ELSE 1 END AS n_files
         FROM (SELECT *, {_FULL} AS n FROM {{part}})
     """,
+    # places as classification leaves them
+    "kept_places": f"""
+        SELECT name, min(idx) AS idx, CASE min(idx) % 3 WHEN 0 THEN 'matched' WHEN 1 THEN 'unresolved' ELSE 'campus' END AS lcsh_status, min(d) AS earliest_date, max(d) AS latest_date, count(*) AS n_files
+        FROM (SELECT p_partkey AS idx, CASE p_partkey % 9 WHEN 0 THEN 'the ' || n WHEN 1 THEN n || ' (N.Y.)' WHEN 2 THEN n || ' Hall Road' WHEN 3 THEN substring(n, 1, length(n) - 1) WHEN 4 THEN replace(n, 'l', '1')
+            WHEN 5 THEN {_CAP.format(k=1)} WHEN 6 THEN n || 's' ELSE n END AS name, DATE '1947-01-03' + CAST((p_partkey % 900) * 7 AS INT) AS d FROM (SELECT p_partkey, p_name, {_FULL} AS n FROM {{part}}) x) y
+        GROUP BY name
+    """,
+    # what a tagger finds, label by label
+    "tagger": f"""
+        SELECT 'spec-' || CAST(DATE '1947-01-03' + CAST((idx % 900) * 7 AS INT) AS STRING) || '_djvu.txt' AS filename, CASE idx % 5 WHEN 0 THEN 'ORG' WHEN 1 THEN 'GPE' WHEN 2 THEN 'EVENT' WHEN 3 THEN 'DATE' ELSE 'PERSON' END AS label,
+            CASE idx % 7 WHEN 0 THEN '& ' || n WHEN 1 THEN n || ' | x' WHEN 2 THEN n || ' 1234' WHEN 3 THEN 'ab ' || lower(n) WHEN 4 THEN '--' || n || ';;' WHEN 5 THEN 'Dean ' || n ELSE n END AS raw
+        FROM (SELECT p_partkey AS idx, {_FULL} AS n FROM {{part}})
+    """,
+    # names of people, some of which are places
+    "people_list": f"""
+        SELECT idx, CASE idx % 6 WHEN 0 THEN n || ' Dormitory' WHEN 1 THEN n || ' Building ' WHEN 2 THEN 'Building ' || n WHEN 3 THEN 'Mc' || n ELSE n END AS name, CAST(1 + idx % 4 AS INT) AS n_files
+        FROM (SELECT p_partkey AS idx, {_FULL} AS n FROM {{part}})
+    """,
+    "place_probes": f"""
+        SELECT idx, CASE idx % 6 WHEN 0 THEN pref WHEN 1 THEN 'The ' || p_name || ' ' || CAST(idx % 50 AS STRING) WHEN 2 THEN 'Clinton' WHEN 3 THEN 'the ' || p_name || ', ' || p_type WHEN 4 THEN 'Q' || substring(p_name, 2) ELSE 'Ohio (State)' END AS name
+        FROM (SELECT p_partkey AS idx, p_name, p_type, p_name || ' ' || CAST(p_partkey % 50 AS STRING) || ' (' || p_type || ')' AS pref FROM {{part}})
+    """,
     "headings": "SELECT 'nation ' || CAST(n_nationkey AS STRING) AS key, 'Nation ' || CAST(n_nationkey AS STRING) || ' (Land)' AS heading, CAST(n_nationkey AS BIGINT) AS ord FROM {nation} UNION ALL SELECT 'clinton', 'Clinton (N.Y.)', 100 UNION ALL SELECT 'utica', 'Utica (N.Y.)', 101",
     "records": """
         SELECT CAST(p_partkey AS STRING) AS local_identifier, nullif(p_name, 'red widget') AS title, CASE WHEN p_size % 5 = 0 THEN 'thing' WHEN p_size % 7 = 0 THEN '' ELSE 'image' END AS type,

@@ -45,8 +45,37 @@ def person_words(c: str) -> str:
     return tokens(rx(f"translate(lower({c}), '0123456789', '{DIGIT_LETTERS}')", r"[^a-z\s'\-]"))
 
 
-def person_form(c: str) -> str:
-    ctx = quoted(values.CONTEXT_WORDS)
+def place_form(c: str) -> str:
+    bare = rx(rx(c, rf"[{WS}]*\([^)]+\)"), r"\A(?i:a |an |the )")
+    return collapse(rx(f"translate(lower(trim({bare})), '0123456789', '{DIGIT_LETTERS}')", rf"[^a-z0-9{WS}'.\-]", " "))
+
+
+def place_keys(norm: str) -> str:
+    w = f"string_split({norm}, ' ')"
+    a, b = (f"upper(substring({norm}, 1, 1)) || '_' || ({soundex(f'({w})[{k}]')})" for k in (1, 2))
+    return f"CASE WHEN {norm} = '' THEN ['X_0000'] WHEN len({w}) >= 3 THEN list_distinct([{a}, {b}]) ELSE [{a}] END"
+
+
+def reconciled(source: str, norm: str, keys: str, least_words: int, word: int, near: str = "true") -> str:
+    """CTEs from source (idx, name, a, b: dates, and more) to edges and clustered; near is asked of close pairs further."""
+    return f"""
+        rows AS MATERIALIZED (SELECT * FROM {source}), normed AS MATERIALIZED (SELECT *, {norm} AS norm FROM rows), blocked AS MATERIALIZED (SELECT *, unnest({keys}) AS block_key FROM normed),
+        sized AS (SELECT block_key FROM blocked GROUP BY block_key HAVING count(*) BETWEEN 2 AND 150),
+        pairs AS MATERIALIZED (SELECT x.block_key, x AS x, y AS y FROM blocked x JOIN blocked y USING (block_key) JOIN sized USING (block_key) WHERE x.idx < y.idx),
+        shaped AS (SELECT *, x.norm AS na, y.norm AS nb, CASE WHEN length(x.norm) <= length(y.norm) THEN x.norm ELSE y.norm END AS sn, CASE WHEN length(x.norm) <= length(y.norm) THEN y.norm ELSE x.norm END AS ln FROM pairs),
+        led AS (SELECT *, (sn = ln OR starts_with(ln, sn || ' ')) AND len({tokens('sn')}) >= {least_words} AS is_prefix, {token_sort('na')} AS sa, {token_sort('nb')} AS sb FROM shaped),
+        scored AS MATERIALIZED (SELECT *, CASE WHEN is_prefix THEN 100.0 ELSE {ratio('sa', 'sb')} END AS score, {ratio(f"string_split(na, ' ')[{word}]", f"string_split(nb, ' ')[{word}]")} AS word_score FROM led),
+        judged AS (SELECT *, CASE WHEN is_prefix THEN 'prefix' WHEN score >= CASE WHEN regexp_matches(x.name || y.name, '[0-9]') THEN 80 ELSE 88 END THEN 'fuzzy'
+            WHEN score >= 78 AND greatest(x.a - y.b, y.a - x.b) <= 365 AND word_score >= 78 AND {near} THEN 'temporal_proximity' END AS reason FROM scored),
+        edges AS MATERIALIZED (SELECT x.idx AS idx_a, y.idx AS idx_b, block_key, score, reason FROM judged WHERE reason IS NOT NULL),
+        both_ways AS (SELECT idx_a AS a, idx_b AS b FROM edges UNION SELECT idx_b, idx_a FROM edges UNION SELECT idx, idx FROM rows),
+        reach AS (SELECT a, b FROM both_ways UNION SELECT r.a, w.b FROM reach r JOIN both_ways w ON r.b = w.a),
+        clustered AS MATERIALIZED (SELECT p.*, c.cluster FROM rows p JOIN (SELECT a AS idx, min(b) AS cluster FROM reach GROUP BY a) c USING (idx))
+    """
+
+
+def person_form(c: str, context: list[str] = values.CONTEXT_WORDS) -> str:
+    ctx = quoted(context)
     cut = f"list_filter([{person_words(c)}], lambda w: true)[1]"
     kept = f"list_transform([{cut}], lambda w: w[coalesce(nullif(list_position(list_transform(w, lambda x: list_contains({ctx}, x)), false), 0), 1000000):])[1]"
     keys, full = quoted(values.NICKNAMES), quoted(values.NICKNAMES.values())
