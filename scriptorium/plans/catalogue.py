@@ -9,6 +9,7 @@ from ..functions import fuzzy, values
 from ..functions.phonetic import soundex
 from ..operators import catalogue_records as records
 from ..operators import cleaning, entities, matching, pages, places, routing
+from ..sources.readers import html_texts
 from ..storage import dealt, stash
 from . import oracle as o
 from .inputs import derived, duck
@@ -487,22 +488,24 @@ def wiki_index(spark, sf_dir):
     return own("source", "documents", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).unionByName(own("topic", "nation", F.col("n_name"))).unionByName(own("person", "customer", F.col("c_name")))
 
 
-@query()
-def html_text_stats(spark, sf_dir):
-    """Title, lines and digest of the visible text of each page."""
-    from ..session import ship
-    from ..sources.readers import html_text
+_PLAIN = "coalesce(html, '')"
+for _tag in ("<!--.*?-->", "<head[ >].*?</head>", "<style[ >].*?</style>", "<script[ >].*?</script>", "<[^>]*>"):
+    _PLAIN = f"regexp_replace({_PLAIN}, '{_tag}', chr(10), 'gs')"
+_ENTITIES = {"&quot;": '"', "&copy;": "©", "&middot;": "·", "&lt;": "<", "&gt;": ">", "&amp;": "&"}
 
-    ship(spark)
-    parsed = F.udf(lambda x: html_text(x or ""), "text string, title string", useArrow=True)("html")
-    return _read(spark, sf_dir, "pages").select("page_id", parsed.alias("p")).select("page_id", "p.title", F.size(F.split("p.text", "\n")).cast("long").alias("lines"), F.md5(F.col("p.text").cast("binary")).alias("text_md5"))
 
+def _spelt(c: str) -> str:
+    for a, b in _ENTITIES.items():
+        c = f"replace({c}, '{a}', '{b}')"
+    return c
 
-@query("SELECT event_type, count(*) AS n_rows, min(line) AS first_line, max(line) AS last_line FROM (SELECT event_type, CAST(event_id AS VARCHAR) || ' | ' || CAST(user_id AS VARCHAR) || ' | ' || event_type AS line FROM events) GROUP BY event_type")
-def csv_pipe_text(spark, sf_dir):
-    """Rows as lines of text, by type."""
-    line = F.concat_ws(" | ", F.col("event_id").cast("string"), F.col("user_id").cast("string"), "event_type")
-    return _read(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n_rows"), F.min(line).alias("first_line"), F.max(line).alias("last_line"))
+
+@query(f"""SELECT page_id, trim({_spelt("regexp_extract(html, '<title>([^<]*)</title>', 1)")}) AS title, CAST(len(ls) AS BIGINT) AS lines, md5(array_to_string(ls, chr(10))) AS text_md5
+    FROM (SELECT page_id, html, list_filter(list_transform(string_split({_spelt(_PLAIN)}, chr(10)), lambda x: {o.strip('x')}), lambda x: x <> '') AS ls FROM pages)""")
+def html_text_stats(spark, sf_dir):
+    """Title, lines and digest of the visible text of each page."""
+    rows = html_texts(_read(spark, sf_dir, "pages"))
+    return rows.select("page_id", F.col("html_title").alias("title"), F.size(F.split("html_text", "\n")).cast("long").alias("lines"), F.md5(F.col("html_text").cast("binary")).alias("text_md5"))
 
 
 @query("SELECT md5(coalesce(text, '')) AS md5, min(CAST(doc_id AS VARCHAR)) AS filename FROM documents GROUP BY 1")

@@ -155,7 +155,7 @@ def place_regional(spark, sf_dir):
 _STARTS = "list_concat([substring(form, 1, 3)], CASE WHEN length(form) >= 3 THEN list_filter(list_transform(" + o.quoted(places.FIRST_LETTERS) + ", lambda x: x || substring(form, 2, 2)), lambda x: x <> substring(form, 1, 3)) ELSE [] END)"
 
 
-_GARBLED = f"(SELECT DISTINCT CASE WHEN idx % 2 = 0 THEN 'Q' || substring(name, 2) ELSE name END AS name FROM {duck('places')})"
+_GARBLED = f"(SELECT DISTINCT CASE WHEN idx % 24 < 12 THEN 'Q' || substring(name, 2) ELSE name END AS name FROM {duck('places')})"
 
 
 @query(f"""WITH h AS MATERIALIZED (SELECT {o.key('heading', 'full')} AS full_key, {o.key('heading', 'bare')} AS key, heading, ord FROM (SELECT heading, min(ord) AS ord FROM {duck('headings')} GROUP BY heading)),
@@ -169,7 +169,7 @@ _GARBLED = f"(SELECT DISTINCT CASE WHEN idx % 2 = 0 THEN 'Q' || substring(name,
 def place_prefix_rescue(spark, sf_dir):
     """The heading most like a garbled name, among those that begin alike but for a first letter."""
     headings = derived(spark, sf_dir, "headings").groupBy("heading").agg(F.min("ord").alias("ord"))
-    garbled = F.when(F.col("idx") % 2 == 0, F.concat(F.lit("Q"), F.substr("name", F.lit(2)))).otherwise(F.col("name"))
+    garbled = F.when(F.col("idx") % 24 < 12, F.concat(F.lit("Q"), F.substr("name", F.lit(2)))).otherwise(F.col("name"))
     return places.prefix_heading(derived(spark, sf_dir, "places").select(garbled.alias("name")).distinct(), *places.authority_index(headings))
 
 

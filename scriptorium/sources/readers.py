@@ -19,6 +19,7 @@ from pyspark.sql.types import StringType, StructField, StructType
 
 from ..functions.text import WS
 from ..session import ship
+from .pdf import pdf_text
 
 
 def file_name(path: Column | str = "path") -> Column:
@@ -27,13 +28,8 @@ def file_name(path: Column | str = "path") -> Column:
 
 def text_documents(spark: SparkSession, folder: str, glob: str = "*.txt") -> DataFrame:
     """path, filename, text of each file; bytes that are no UTF-8 become U+FFFD."""
-    ship(spark)
     rows = spark.read.format("binaryFile").option("pathGlobFilter", glob).load(folder)
-    return rows.select("path", file_name().alias("filename"), F.udf(_utf8, "string", useArrow=True)("content").alias("text"))
-
-
-def _utf8(data: bytes) -> str:
-    return bytes(data).decode("utf-8", "replace")
+    return rows.select("path", file_name().alias("filename"), F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def issues(spark: SparkSession, folder: str) -> DataFrame:
@@ -41,15 +37,21 @@ def issues(spark: SparkSession, folder: str) -> DataFrame:
     return text_documents(spark, folder).where(F.contains("filename", F.lit("_djvu.txt")) | F.startswith("filename", F.lit("spec-")))
 
 
-def strings_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",") -> DataFrame:
-    """A CSV with a header, all columns strings, quotes doubled, line breaks inside quotes."""
+def strings_csv(spark: SparkSession, path: str, columns: list[str], sep: str = ",", line_breaks: bool = True) -> DataFrame:
+    """A CSV with a header, all columns strings, quotes doubled. Without line breaks inside quotes a large file can be split over tasks."""
     schema = StructType([StructField(c, StringType()) for c in columns])
-    return spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=True, enforceSchema=False)
+    return spark.read.csv(path, schema=schema, header=True, sep=sep, quote='"', escape='"', multiLine=line_breaks, enforceSchema=False)
+
 
+def typed_csv(spark: SparkSession, path: str, schema: StructType | str | None = None, line_breaks: bool = True) -> DataFrame:
+    """A CSV with a header, its columns of the types stated, or inferred by a pass over all of it; empty is null."""
+    options = {"header": True, "quote": '"', "escape": '"', "multiLine": line_breaks}
+    return spark.read.csv(path, schema=schema, enforceSchema=False, **options) if schema else spark.read.csv(path, inferSchema=True, **options)
 
-def json_records(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A JSON array of objects."""
-    return spark.read.json(path, schema=schema, multiLine=True)
+
+def json_records(spark: SparkSession, path: str, schema: StructType | str, lines: bool = False) -> DataFrame:
+    """A JSON array of objects, or an object a line, which can be split over tasks."""
+    return spark.read.json(path, schema=schema, multiLine=not lines)
 
 
 def checkpoints(spark: SparkSession, folder: str, glob: str = "chunk_*.json") -> DataFrame:
@@ -112,8 +114,10 @@ def gazetteer(spark: SparkSession, path: str, member: str) -> DataFrame:
         for batch in batches:
             for content in batch.column(0).to_pylist():
                 with zipfile.ZipFile(io.BytesIO(content)) as z, z.open(member) as raw:
-                    lines = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", "replace"), delimiter="|", quoting=csv.QUOTE_NONE)
-                    header = next(lines)
+                    lines = csv.reader(io.TextIOWrapper(raw, "utf-8-sig", "replace"), delimiter="|")
+                    header = next(lines, [])
+                    if missing := [c for c in _GAZETTEER if c not in header]:
+                        raise ValueError(f"the gazetteer has no column {missing[0]}")
                     at = [header.index(c) for c in _GAZETTEER]
                     rows: list[tuple] = []
                     for k, x in enumerate(lines):
@@ -133,37 +137,39 @@ def _gazetteer_batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 class _Visible(HTMLParser):
-    def __init__(self):
+    def __init__(self, hidden: tuple[str, ...]):
         super().__init__(convert_charrefs=True)
-        self.parts, self.title, self.hidden, self.in_title = [], "", 0, False
+        self.parts, self.title, self.depth, self.in_title, self.hides = [], "", 0, False, hidden
 
     def handle_starttag(self, tag, attrs):
         self.in_title = tag == "title"
-        self.hidden += tag in ("script", "style", "head")
+        self.depth += tag in self.hides
 
     def handle_endtag(self, tag):
         self.in_title = False
-        if tag in ("script", "style", "head") and self.hidden:
-            self.hidden -= 1
+        if tag in self.hides and self.depth:
+            self.depth -= 1
 
     def handle_data(self, data):
         if self.in_title and not self.title:
             self.title = data.strip()
-        if not self.hidden:
+        if not self.depth:
             self.parts.append(data)
 
 
-def html_text(html: str) -> tuple[str, str]:
-    """Visible text, a line for each piece, and the title; scripts, styles and the head are not visible."""
-    p = _Visible()
+def html_text(html: str, hidden: tuple[str, ...] = ("script", "style", "head")) -> tuple[str, str]:
+    """Visible text, a line for each piece, and the title; what stands in hidden tags is not visible."""
+    p = _Visible(hidden)
     p.feed(html)
     p.close()
     return "\n".join(x for x in (y.strip() for part in p.parts for y in part.split("\n")) if x), p.title
 
 
-def _csv_text(data: bytes) -> tuple[str, dict]:
-    rows = [r for r in csv.reader(io.StringIO(data.decode("utf-8-sig", "replace"))) if any(c.strip() for c in r)]
-    return "\n".join(" | ".join(c.strip() for c in r) for r in rows), {"columns": ", ".join(rows[0]) if rows else "", "row_count": str(max(0, len(rows) - 1))}
+def csv_text(data: bytes) -> tuple[str, dict]:
+    """Rows that are not empty as lines, cells parted by bars; columns and row_count (all rows but the first)."""
+    rows = list(csv.reader(io.StringIO(data.decode("utf-8", "replace"))))
+    text = "\n".join(" | ".join(c.strip() for c in r) for r in rows if any(r))
+    return text, {"columns": ", ".join(rows[0]), "row_count": str(len(rows) - 1)} if rows else {}
 
 
 def _html(data: bytes) -> tuple[str, dict]:
@@ -172,12 +178,16 @@ def _html(data: bytes) -> tuple[str, dict]:
 
 
 def _office(data: bytes) -> tuple[str, dict]:
+    local = lambda e: e.tag.rpartition("}")[2]
     with zipfile.ZipFile(io.BytesIO(data)) as z:
-        odt = "content.xml" in z.namelist()
+        names = z.namelist()
+        odt = "content.xml" in names
         root = ET.fromstring(z.read("content.xml" if odt else "word/document.xml"))
-    local = lambda e: e.tag.rpartition("}")[2]
+        core = next((n for n in ("meta.xml", "docProps/core.xml") if n in names), None)
+        said = {local(e): (e.text or "").strip() for e in ET.fromstring(z.read(core)).iter()} if core else {}
     found = ["".join(e.itertext() if odt else (t.text or "" for t in e.iter() if local(t) == "t")) for e in root.iter() if local(e) in (("p", "h") if odt else ("p",))]
-    return "\n\n".join(x for x in found if x.strip()), {}
+    about = {"title": said.get("title"), "author": said.get("creator") or said.get("initial-creator"), "subject": said.get("subject")}
+    return "\n\n".join(x for x in found if x.strip()), {k: v for k, v in about.items() if v}
 
 
 def _mail(data: bytes) -> tuple[str, dict]:
@@ -189,8 +199,8 @@ def _mail(data: bytes) -> tuple[str, dict]:
         if part.get_content_type() == "text/plain":
             plain.append(part.get_content())
         elif part.get_content_type() == "text/html":
-            rich.append(html_text(part.get_content())[0])
-    return "\n\n".join(plain or rich), {k.lower(): str(m[k]) for k in ("From", "To", "Subject", "Date") if m[k]}
+            rich.append(html_text(part.get_content(), ("script", "style"))[0])
+    return "\n\n".join(x.strip() for x in plain or rich if x.strip()), {k.lower(): str(m[k]).strip() for k in ("Subject", "From", "To", "Date") if m[k]}
 
 
 def _plain(data: bytes) -> tuple[str, dict]:
@@ -198,7 +208,7 @@ def _plain(data: bytes) -> tuple[str, dict]:
 
 
 #: Extractors by extension; add to it, or pass others.
-EXTRACTORS: dict[str, Callable[[bytes], tuple[str, dict]]] = {"txt": _plain, "md": _plain, "csv": _csv_text, "html": _html, "htm": _html, "docx": _office, "odt": _office, "eml": _mail}
+EXTRACTORS: dict[str, Callable[[bytes], tuple[str, dict]]] = {"txt": _plain, "md": _plain, "csv": csv_text, "html": _html, "htm": _html, "docx": _office, "odt": _office, "eml": _mail, "pdf": pdf_text}
 _EXTRACTED = "path string, filename string, md5 string, text string, type string, metadata map<string,string>, error string, is_scan boolean"
 
 
@@ -235,6 +245,20 @@ def extract(files: DataFrame, extractors: dict[str, Callable] | None = None) ->
     return files.select("path", "filename", "ext", "content").mapInArrow(of, _EXTRACTED)
 
 
+def html_texts(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with html_text and html_title, in Arrow batches. Null counts as empty."""
+    ship(pages.sparkSession)
+    at, names = pages.columns.index(html), [*pages.columns, "html_text", "html_title"]
+
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [html_text(x or "") for x in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([t for t, _ in found], pa.string()), pa.array([t for _, t in found], pa.string())], names=names)
+
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema)
+    return pages.mapInArrow(of, f"{shape}, html_text string, html_title string")
+
+
 def images(spark: SparkSession, folder: str, extensions: tuple[str, ...] = ("jpg", "jpeg", "png")) -> DataFrame:
     """path, filename, length of images, whatever the case of their extension."""
     rows = spark.read.format("binaryFile").load(folder).select("path", file_name().alias("filename"), "length")
