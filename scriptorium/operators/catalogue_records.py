@@ -53,6 +53,17 @@ def summary(validated: DataFrame) -> DataFrame:
     return validated.agg(F.count("*").alias("total"), count(F.col("is_valid"))("valid"), count(~F.col("is_valid"))("invalid"), count(F.size("warnings") > 0)("with_warnings"))
 
 
+def details(validated: DataFrame, key: str = "local_identifier") -> DataFrame:
+    """key, kind (error or warning), position, message: a row for each message of records that have any."""
+    each = lambda kind, c: validated.select(key, F.lit(kind).alias("kind"), F.posexplode(c).alias("position", "message"))
+    return each("error", "errors").unionByName(each("warning", "warnings"))
+
+
+def top_fields(profiled: DataFrame, n: int = 10) -> DataFrame:
+    """The n fields that most records have, ties in order of their names, for a report."""
+    return profiled.orderBy(F.col("percentage").desc(), "field").limit(n)
+
+
 def name_case(name: Column | str) -> Column:
     """Title case by words, articles in lower case but for the first word."""
     return F.array_join(F.transform(tokens(name), lambda w, i: F.when((i > 0) & F.lower(w).isin(values.SMALL_WORDS), F.lower(w)).otherwise(title_case(w))), " ")

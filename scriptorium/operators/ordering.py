@@ -17,16 +17,16 @@ def numbered(rows: DataFrame, order: list[Column], out: str = "position") -> tup
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     # the last range key spreads rows that are equal in all others
     ranged = rows.withColumn("__any", F.monotonically_increasing_id()).repartitionByRange(n, *order, "__any").sortWithinPartitions(*order, "__any")
-    ranged = stash(ranged.drop("__any").withColumn("__at", F.monotonically_increasing_id()), "ranged")
-    part = F.shiftright("__at", 33)
+    ranged = stash(ranged.drop("__any").withColumn("__row_at", F.monotonically_increasing_id()), "ranged")
+    part = F.shiftright("__row_at", 33)
     counts = sorted((r.p, r.n) for r in ranged.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect())
     starts, total = [], 0
     for p, k in counts:
         starts.append((p, total))
         total += k
-    first = spark.createDataFrame(starts, "__part long, __start long")  # a row for each range
-    found = ranged.withColumn("__part", part).join(F.broadcast(first), "__part")
-    return found.withColumn(out, F.col("__start") + F.col("__at").bitwiseAND((1 << 33) - 1)).drop("__part", "__start", "__at"), total
+    first = spark.createDataFrame(starts, "__row_part long, __row_start long")  # a row for each range
+    found = ranged.withColumn("__row_part", part).join(F.broadcast(first), "__row_part")
+    return found.withColumn(out, F.col("__row_start") + F.col("__row_at").bitwiseAND((1 << 33) - 1)).drop("__row_part", "__row_start", "__row_at"), total
 
 
 def by_name(rows: DataFrame, name: str = "name", tie: str = "idx") -> DataFrame:

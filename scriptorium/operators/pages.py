@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import WS, col, file_slug, strip
 from ..storage import stash
+from .graph import spread_join
+from .ordering import numbered
 
 # Fixed values of the language-model tools: tokens of a single call and of a chunk, characters a token, prices a
 # million tokens, longest image side, pixels a token, tokens of a prompt.
@@ -30,22 +32,27 @@ def first_of_content(files: DataFrame, key: str = "md5", order: str = "filename"
 def assign_slugs(files: DataFrame, existing: DataFrame | None = None, name: str = "filename", order: str = "idx") -> DataFrame:
     """files with slug: unique, the base or base-2, base-3 and so on in order, none that exists already.
 
-    Rounds: the bases that no taken slug gets in the way of are settled by rank. A file whose numbered slug is the
-    base or number of another is moved on, in order, until nothing collides. Each round is one join and one window.
+    Rounds: every file takes its rank among those of its base. Where a slug exists already, or several files come to
+    the same one, all but the first of them are late and move on with the later files of their base, until nothing
+    collides. Ranks come from positions in one order over all files, so a base may have any number of them.
     """
-    rows = files.withColumn("__base", file_slug(name)).withColumn("__n", F.row_number().over(Window.partitionBy("__base").orderBy(order)))
-    numbered = lambda n: F.when(n == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), n.cast("string")))
-    taken = (existing.select(F.col("slug").alias("__slug")) if existing is not None else files.select(F.lit("").alias("__slug")).limit(0)).distinct()
+    placed, _ = numbered(files.withColumn("__base", file_slug(name)), [F.col("__base").asc(), F.col(order).asc()], "__at")
+    rows = stash(placed, "placed")
+    first = rows.groupBy("__base").agg(F.min("__at").alias("__first"))
+    rows = spread_join(rows, first, ["__base"]).withColumn("__n", F.col("__at") - F.col("__first") + 1).drop("__at", "__first")
+    slug = F.when(F.col("__n") == 1, F.col("__base")).otherwise(F.concat("__base", F.lit("-"), F.col("__n").cast("string")))
+    taken = existing.select(F.col("slug").alias("__slug")).distinct().withColumn("__old", F.lit(True)) if existing is not None else None
     while True:
-        rows = stash(rows.withColumn("__slug", numbered(F.col("__n"))), "slugs")
-        clash = rows.join(taken.withColumn("__old", F.lit(True)), "__slug", "left")
-        clash = clash.withColumn("__rank", F.row_number().over(Window.partitionBy("__slug").orderBy(order)))
-        late = clash.where("__old or __rank > 1").select(F.col(order).alias("__late")).distinct()
-        if late.isEmpty():
+        rows = stash(rows.withColumn("__slug", slug), "slugs")
+        counts = rows.groupBy("__slug").agg(F.min(order).alias("__earliest"), F.count("*").alias("__many"))
+        clash = (counts.join(taken, "__slug", "left") if taken is not None else counts.withColumn("__old", F.lit(None).cast("boolean"))).where("__old or __many > 1")
+        clash = stash(clash, "clash")
+        if clash.isEmpty():
             return rows.withColumn("slug", F.col("__slug")).drop("__base", "__n", "__slug")
+        late = rows.join(clash, "__slug").where(F.col("__old") | (F.col(order) != F.col("__earliest")))
         # later files of the same base move with the late one, so that numbers stay in order
-        first = rows.join(late, F.col(order) == F.col("__late"), "left_semi").groupBy("__base").agg(F.min("__n").alias("__from"))
-        rows = rows.drop("__slug").join(first, "__base", "left").withColumn("__n", F.col("__n") + F.when(F.col("__n") >= F.col("__from"), 1).otherwise(0)).drop("__from")
+        moved = late.groupBy("__base").agg(F.min("__n").alias("__from"))
+        rows = spread_join(rows.drop("__slug"), moved, ["__base"], "left").withColumn("__n", F.col("__n") + F.when(F.col("__n") >= F.col("__from"), 1).otherwise(0)).drop("__from")
 
 
 def body_of(page: Column | str) -> Column:
@@ -94,6 +101,39 @@ def replace_block(page: Column | str, block: Column, start: str, end: str, day:
     return F.when((a > 0) & (b > 0), inside).otherwise(added)
 
 
+def touch(page: Column | str, day: Column) -> Column:
+    """page with last_updated in its front matter set to a day, or put in at its end; a page without front matter stays as it is."""
+    p = col(page)
+    pattern = r"(?s)\A(---[ \t]*\n)(.*?)(\n---[ \t]*\n)(.*)\z"
+    part = lambda k: F.regexp_extract(p, pattern, k)
+    at = F.regexp_instr(part(2), F.lit("(?m)^last_updated:"))
+    rest = F.substr(part(2), at)
+    line = F.concat(F.lit("last_updated: "), day)
+    told = F.concat(F.substr(part(2), F.lit(1), at - 1), line, F.regexp_replace(rest, r"\A[^\n]*", ""))
+    added = F.concat(F.regexp_replace(part(2), rf"[{WS}]+\z", ""), F.lit("\n"), line)
+    return F.when(p.rlike(pattern), F.concat(part(1), F.when(at > 0, told).otherwise(added), part(3), part(4))).otherwise(p)
+
+
+def refresh(page: Column | str, block: Column, start: str, end: str, day: Column) -> Column:
+    """replace_block, and the day in the front matter where the marks were there."""
+    marked = F.contains(col(page), F.lit(start)) & F.contains(col(page), F.lit(end))
+    changed = replace_block(page, block, start, end, day)
+    return F.when(marked, touch(changed, day)).otherwise(changed)
+
+
+def usage_totals(calls: DataFrame) -> DataFrame:
+    """calls, tokens_in, tokens_out and cost of all calls (tokens_in, tokens_out), in one row."""
+    total = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    sums = calls.agg(F.count("*").alias("calls"), total("tokens_in").alias("tokens_in"), total("tokens_out").alias("tokens_out"))
+    return sums.withColumn("cost", cost(F.col("tokens_in"), F.col("tokens_out")))
+
+
+def run_counters(items: DataFrame) -> DataFrame:
+    """processed, skipped (known to the manifest) and errors of a run's items (known: boolean, error: string or null), in one row."""
+    known = F.coalesce("known", F.lit(False))
+    return items.agg(F.count_if(~known & F.col("error").isNull()).alias("processed"), F.count_if(known).alias("skipped"), F.count_if(~known & F.col("error").isNotNull()).alias("errors"))
+
+
 def estimate_tokens(text: Column | str) -> Column:
     return F.floor(F.length(F.coalesce(col(text), F.lit(""))) / CHARS).cast("long")
 

@@ -1,3 +1,4 @@
+import base64
 import datetime
 
 from pyspark.sql import functions as F
@@ -27,11 +28,16 @@ def test_projects_and_threads(spark):
     assert [(r.thread_id, r.subject) for r in got.collect()] == [(1, "b")]
 
 
+def fake_model():
+    """A model: the text's first words, in base64."""
+    return lambda texts: [base64.b64encode(" ".join(t.split()[:3]).encode()).decode() for t in texts]
+
+
 def test_pages_and_models(spark):
     rows = spark.createDataFrame([("my_file-1.txt", "a b c d\nx\ny"), ("z.txt", None)], "name string, text string")
     page = rows.select(routing.document_page("name", "text", F.lit("2024-01-02"), lines=2)).first()[0]
     assert page.startswith('---\ntitle: "My File 1"\n') and page.endswith("a b c d\nx\n\n*[Preview: first 2 of 3 lines shown.]*\n")
-    assert [(r.answer, r.answer_error) for r in routing.apply_model(rows, routing.fake_model).collect()] == [("YSBiIGM=", None), ("", None)]
+    assert [(r.answer, r.answer_error) for r in routing.apply_model(rows, fake_model).collect()] == [("YSBiIGM=", None), ("", None)]
 
     def broken():
         def model(texts):
