@@ -94,6 +94,12 @@ def rollup(found: DataFrame, keys: list[str] | None = None) -> DataFrame:
     return per_file.groupBy(*keys).agg(F.min("a").alias("earliest_date"), F.max("b").alias("latest_date"), F.array_sort(F.collect_list("filename")).alias("files"))
 
 
+def rollup_long(found: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """The rollup as a row for each file of an entity: keys, filename, earliest_date, latest_date. For names in any number of files."""
+    keys = keys or ["kind", "name"]
+    return found.groupBy(*keys, "filename").agg(F.min("doc_date").alias("earliest_date"), F.max("doc_date").alias("latest_date"))
+
+
 def combine(partials: list[DataFrame], keys: list[str] | None = None) -> DataFrame:
     """Rollups of chunks made one; equal to the rollup of all."""
     keys = keys or ["kind", "name"]

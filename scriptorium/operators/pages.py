@@ -72,6 +72,16 @@ def topic_links(pages: DataFrame, topics: list[dict], text: str = "body", key: s
     return rows.select(key, F.explode(F.array_compact(F.array(*hits))).alias("topic"))
 
 
+def topic_counts(links: DataFrame) -> DataFrame:
+    """topic, n: pages of each topic."""
+    return links.groupBy("topic").agg(F.count("*").alias("n"))
+
+
+def index_of(catalogues: dict[str, DataFrame], title: str = "title") -> DataFrame:
+    """kind, title: the pages of all catalogues in one list."""
+    return reduce(lambda a, b: a.unionByName(b), [rows.select(F.lit(kind).alias("kind"), F.col(title).alias("title")) for kind, rows in catalogues.items()])
+
+
 def related_section(topics: Column) -> Column:
     """Markdown for an array of structs (title, path)."""
     return F.concat(F.lit("## Related Topics\n\n"), F.array_join(F.transform(topics, lambda t: F.concat(F.lit("- ["), t["title"], F.lit("]("), t["path"], F.lit(")"))), "\n"), F.lit("\n"))

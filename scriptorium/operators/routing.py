@@ -64,7 +64,7 @@ def mail_threads(inbox: DataFrame, sent: DataFrame, since: Column) -> DataFrame:
     """Threads of both folders since a time, one row each: the latest message, the smallest in order of its columns where times are equal."""
     both = inbox.unionByName(sent).where(F.col("sent_at") >= since)
     rest = [c for c in both.columns if c not in ("thread_id", "sent_at")]
-    first = F.min(F.struct((-F.unix_micros("sent_at")).alias("__age"), F.col("sent_at"), *rest)).alias("m")
+    first = F.min(F.struct((-F.unix_micros(F.col("sent_at").cast("timestamp"))).alias("__age"), F.col("sent_at"), *rest)).alias("m")
     return both.groupBy("thread_id").agg(first).select("thread_id", "m.sent_at", *(F.col("m")[c].alias(c) for c in rest)).select(*both.columns)
 
 

@@ -374,7 +374,13 @@ def content_dedup(spark, sf_dir):
     return pages.first_of_content(_read(spark, sf_dir, "documents").select("doc_id", F.md5(F.coalesce("text", F.lit("")).cast("binary")).alias("md5")), order="doc_id")
 
 
-@query()
+_BASE = o.rx(o.rx(o.rx("translate(lower(regexp_replace(filename, '(.)\\.[^.]*\\z', '\\1')), '_.', '--')", r"[^a-z0-9\-]"), "-+", "-"), r"\A-|-\z")
+
+
+@query(f"""WITH RECURSIVE f AS MATERIALIZED (SELECT *, row_number() OVER (ORDER BY idx) AS k, count(*) OVER (PARTITION BY base) AS c FROM (SELECT idx, filename, {_BASE} AS base FROM {duck('files')})),
+    s AS (SELECT CAST(0 AS BIGINT) AS k, CAST([] AS VARCHAR[]) AS taken, CAST(NULL AS VARCHAR) AS slug
+        UNION ALL SELECT k, list_append(taken, slug), slug FROM (SELECT f.k, taken, CASE WHEN NOT list_contains(taken, base) THEN base ELSE list_filter(list_transform(range(2, c + 3), lambda n: base || '-' || CAST(n AS VARCHAR)), lambda x: NOT list_contains(taken, x))[1] END AS slug FROM s JOIN f ON f.k = s.k + 1))
+    SELECT idx, filename, slug FROM f JOIN s USING (k)""")
 def slug_assign(spark, sf_dir):
     """A unique slug for each file; numbers that collide are settled in rounds."""
     return pages.assign_slugs(derived(spark, sf_dir, "files").select("idx", "filename")).select("idx", "filename", "slug")
@@ -399,7 +405,7 @@ def topic_links(spark, sf_dir):
 @query(f"SELECT topic, count(*) AS n FROM ({_LINKS}) GROUP BY topic")
 def topic_counts(spark, sf_dir):
     """Pages of each topic."""
-    return pages.topic_links(derived(spark, sf_dir, "source_pages"), TOPICS).groupBy("topic").agg(F.count("*").alias("n"))
+    return pages.topic_counts(pages.topic_links(derived(spark, sf_dir, "source_pages"), TOPICS))
 
 
 @query(r"""SELECT slug, regexp_extract(body, '\A---\ntitle: "(.*)"\n', 1) AS title, regexp_extract(body, '\nlang: (.*)\n', 1) AS lang, 'notes' AS kind, md5(substring(body, instr(body, '## Content'))) AS body_md5 FROM """ + duck("source_pages"))
@@ -460,32 +466,36 @@ def digest_latest(spark, sf_dir):
     return pages.latest_comments(derived(spark, sf_dir, "projects"), derived(spark, sf_dir, "tasks"), derived(spark, sf_dir, "comments")).select("gid", "line")
 
 
-@query(f"SELECT event_id, day FROM {duck('meetings')} WHERE day BETWEEN DATE '2024-01-15' - 7 AND DATE '2024-01-15' + 14 AND n_attendees >= 2")
+@query(f"SELECT event_id, day FROM {duck('meetings')} WHERE day BETWEEN DATE '2024-01-15' - 7 AND DATE '2024-01-15' + 14 AND n_attendees >= 2 AND NOT all_day")
 def calendar_window(spark, sf_dir):
-    """Meetings from a week before a day to two weeks after, of two people or more."""
-    return derived(spark, sf_dir, "meetings").where("day between date'2024-01-15' - 7 and date'2024-01-15' + 14 and n_attendees >= 2").select("event_id", "day")
+    """Meetings from a week before a day to two weeks after, of two people or more, no blocks of whole days."""
+    return routing.meetings(derived(spark, sf_dir, "meetings"), F.to_date(F.lit("2024-01-15"))).select("event_id", "day")
 
 
 @query(f"SELECT DISTINCT attendee FROM {duck('meetings')} WHERE attendee NOT IN (SELECT 'user' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 2 = 0)")
 def new_contacts(spark, sf_dir):
     """Attendees who have no page yet."""
     known = _read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("user"), F.col("c_custkey").cast("string")).alias("attendee"))
-    return derived(spark, sf_dir, "meetings").select("attendee").distinct().join(known, "attendee", "left_anti")
+    return routing.new_contacts(derived(spark, sf_dir, "meetings"), known)
+
+
+_MAIL = f"(SELECT * FROM {duck('threads')} WHERE NOT regexp_matches(lower(sender), 'noreply|no-reply|mailer-daemon|donotreply|forms-receipts|notifications') AND NOT contains(lower(subject), '[github]'))"
 
 
-@query("""SELECT conv_id, count(*) AS n_messages, count(DISTINCT role) AS n_senders, count(*) >= 4 OR max(length(coalesce(text, ''))) > 1000 AS own_page FROM conversations
-    WHERE NOT regexp_matches(lower(coalesce(text, '')), 'unsubscribe|no-reply|noreply') GROUP BY conv_id""")
-def thread_clusters(spark, sf_dir):
-    """Threads without noise, and whether each deserves a page of its own."""
-    rows = _read(spark, sf_dir, "conversations").where(~F.lower(F.coalesce("text", F.lit(""))).rlike("unsubscribe|no-reply|noreply"))
-    return rows.groupBy("conv_id").agg(F.count("*").alias("n_messages"), F.count_distinct("role").alias("n_senders"), ((F.count("*") >= 4) | F.coalesce(F.max(F.length(F.coalesce("text", F.lit("")))) > 1000, F.lit(False))).alias("own_page"))
+@query(f"""WITH m AS (SELECT * FROM {_MAIL}), p AS (SELECT person, count(DISTINCT thread_id) AS threads, bool_or(substantive) AS s FROM m WHERE person IS NOT NULL GROUP BY person), r AS (SELECT count(DISTINCT thread_id) AS threads FROM m WHERE person IS NULL)
+    SELECT 'person' AS kind, person AS entity, threads FROM p WHERE threads >= 2 OR s OR person IN (SELECT 'q' || CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 2 = 0) UNION ALL SELECT 'catch-all', '', threads FROM r WHERE threads >= 2""")
+def mail_clusters(spark, sf_dir):
+    """The clusters that mail without noise gets pages for."""
+    threads = derived(spark, sf_dir, "threads").where(~routing.is_mail_noise("sender", "subject"))
+    known = _read(spark, sf_dir, "customer").where("c_custkey % 2 = 0").select(F.concat(F.lit("q"), F.col("c_custkey").cast("string")).alias("person"))
+    return routing.mail_clusters(threads, known)
 
 
 @query("SELECT 'source' AS kind, 'doc-' || CAST(doc_id AS VARCHAR) AS title FROM documents UNION ALL SELECT 'topic', n_name FROM nation UNION ALL SELECT 'person', c_name FROM customer")
 def wiki_index(spark, sf_dir):
     """Pages of all kinds in one list."""
-    own = lambda kind, table, title: _read(spark, sf_dir, table).select(F.lit(kind).alias("kind"), title.alias("title"))
-    return own("source", "documents", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))).unionByName(own("topic", "nation", F.col("n_name"))).unionByName(own("person", "customer", F.col("c_name")))
+    titles = lambda table, title: _read(spark, sf_dir, table).select(title.alias("title"))
+    return pages.index_of({"source": titles("documents", F.concat(F.lit("doc-"), F.col("doc_id").cast("string"))), "topic": titles("nation", F.col("n_name")), "person": titles("customer", F.col("c_name"))})
 
 
 _PLAIN = "coalesce(html, '')"

@@ -76,7 +76,10 @@ DERIVED = {
     "tasks": "SELECT event_id AS gid, user_id AS project_gid, ts AS modified_at FROM {events} WHERE event_type <> 'view'",
     "comments": "SELECT event_id AS task_gid, CASE WHEN event_type = 'click' THEN 'system' ELSE 'comment' END AS type, 'https://app.asana.com/0/profile/' || CAST(user_id AS STRING) || ' note ' || CAST(event_id AS STRING) AS text, ts AS created_at FROM {events} WHERE user_id % 3 <> 0",
     "projects": "SELECT user_id AS gid, 'Project ' || CAST(user_id AS STRING) AS name, CASE WHEN user_id % 2 = 0 THEN 'on track' END AS status_text, max(ts) AS status_at FROM {events} GROUP BY user_id",
-    "meetings": "SELECT event_id, CAST(ts AS DATE) AS day, CAST(event_id % 3 AS INT) AS n_attendees, 'user' || CAST(user_id AS STRING) AS attendee FROM {events}",
+    "threads": "SELECT conv_id AS thread_id, CASE conv_id % 4 WHEN 0 THEN NULL WHEN 1 THEN 'p' || CAST(conv_id % 37 AS STRING) ELSE 'q' || CAST(conv_id AS STRING) END AS person, CASE WHEN conv_id % 5 = 0 THEN 'No-Reply@x' ELSE 'a@b' END AS sender, CASE WHEN conv_id % 7 = 0 THEN '[GitHub] x' ELSE 'Re: y' END AS subject, max(length(coalesce(text, ''))) > 300 AS substantive FROM {conversations} GROUP BY conv_id",
+    "scans": "SELECT doc_id, CAST(floor(doc_id / 3) AS BIGINT) AS doc, doc_id % 3 AS page, CASE WHEN doc_id % 2 = 0 THEN text END AS quick, CASE WHEN doc_id % 5 < 3 THEN source END AS slow FROM {documents}",
+    "archive": "SELECT doc_id AS identifier, CASE WHEN doc_id % 9 = 0 THEN 'audio' ELSE 'texts' END AS mediatype, CASE WHEN doc_id % 2 = 0 THEN text END AS djvu_text, CASE WHEN doc_id % 3 < 2 THEN substring(text, 1, 400) END AS pdf_text, CASE WHEN doc_id % 13 = 0 THEN 'broken' END AS pdf_error, CASE WHEN doc_id % 5 < 3 THEN source END AS ocr_text, 'tesseract' AS ocr_method FROM {documents}",
+    "meetings": "SELECT event_id, CAST(ts AS DATE) AS day, CAST(event_id % 3 AS INT) AS n_attendees, event_id % 11 = 0 AS all_day, 'Weekly sync #' || CAST(event_id % 4 AS STRING) || CASE WHEN event_id % 2 = 0 THEN ' ' || event_type ELSE ' with user' || CAST(user_id AS STRING) END AS title, 'user' || CAST(user_id AS STRING) AS attendee FROM {events}",
 }
 
 

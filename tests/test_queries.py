@@ -25,7 +25,21 @@ def test_query_without_sql_gives_rows(spark, name):
     assert catalogue.QUERIES[name](spark, str(DATA)).count() > 0
 
 
-def test_the_rest_stands_without_the_corpus_operators(tmp_path):
-    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__"))
-    code = "import __spark_entry__ as e; q = e.queries(); assert 'pipeline' not in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q)"
+@pytest.mark.parametrize("gone", [("llm",), ("llm", "corpus_pipeline.py")])
+def test_the_rest_stands_without_the_corpus_operators(tmp_path, gone):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__", *gone))
+    code = """
+import __spark_entry__ as e
+q = e.queries()
+assert 'pipeline' not in q and not any(k.startswith('op') for k in q) and set(e.oracle_sql()) <= set(q)
+from scriptorium import session
+spark = session.build("local[2]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "2"})
+assert q["ocr_noise_flags"](spark, "/root/testdata/sf0.001").count() > 0 if __import__("os").path.exists("/root/testdata/sf0.001") else True
+"""
     subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", check=True)
+
+
+def test_a_missing_library_is_not_hidden(tmp_path):
+    shutil.copytree(ROOT, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "__pycache__"))
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "repo", capture_output=True).returncode != 0

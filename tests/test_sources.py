@@ -86,3 +86,72 @@ def test_upsert(spark):
     state = spark.createDataFrame([(1, "h1"), (2, "h2")], "gid long, digest string")
     fresh = spark.createDataFrame([(1, "h1"), (2, "h9"), (3, "h3")], "gid long, digest string")
     assert {(r.gid, r.digest, r.action) for r in ingest.upsert(state, fresh, "gid", "digest").collect()} == {(1, "h1", "kept"), (2, "h9", "updated"), (3, "h3", "created")}
+
+
+def test_pdf_text_layers(spark, tmp_path):
+    from scriptorium.sources import pdf
+
+    made = pdf.searchable_pdf([[("Hello (x) \\ y", 10, 10, 100, 20), ("second liné", 10, 40, 100, 20)], [("next page", 1, 1, 50, 0.5)]], {"title": "T (1)", "author": "A"})
+    assert pdf.pdf_text(made) == ("Hello (x) \\ y\nsecond liné\n\fnext page\n\f", {"title": "T (1)", "author": "A"})
+    assert pdf.font_size(0.5) == 1.0 and pdf.font_size(20) == 15.0
+    plain = b"%PDF-1.1\n1 0 obj << /Length 60 >> stream\nBT /F1 12 Tf (a\\)b) Tj 0 -14 Td [(c) -20 <64>] TJ T* (e) Tj ET          \nendstream endobj"
+    assert pdf.pdf_text(plain)[0] == "a)b\ncd\ne\n\f"
+    (tmp_path / "scan.pdf").write_bytes(pdf.searchable_pdf([[]]))
+    (tmp_path / "bad.pdf").write_bytes(b"no")
+    (tmp_path / "locked.pdf").write_bytes(b"%PDF-1.4 /Encrypt 1 0 R")
+    got = {r.filename: (r.is_scan, r.error is None) for r in readers.extract(readers.ingest_files(spark, str(tmp_path))).collect()}
+    assert got == {"scan.pdf": (True, True), "bad.pdf": (True, False), "locked.pdf": (True, False)}
+
+
+def test_bytes_that_are_no_utf8(spark, tmp_path):
+    raw = [b"a\xffb", b"\xe2\x82", b"\xf0\x9f\x98\x80 ok", b"\xc3\x28", b"\xed\xa0\x80", b"\xe2\x82\xac\x80"]
+    for k, data in enumerate(raw):
+        (tmp_path / f"{k}.txt").write_bytes(data)
+    got = {r.filename: r.text for r in readers.text_documents(spark, str(tmp_path)).collect()}
+    assert got == {f"{k}.txt": data.decode("utf-8", "replace") for k, data in enumerate(raw)}
+
+
+def test_files_and_reports(spark, tmp_path):
+    rows = spark.createDataFrame([("a.txt", "x"), ("sub/b.txt", None)], "filename string, text string")
+    listed = sinks.write_files(rows, f"file://{tmp_path}/out")
+    assert sorted((r.path.rpartition("/out/")[2], r.bytes) for r in listed.collect()) == [("a.txt", 1), ("sub/b.txt", 0)]
+    assert (tmp_path / "out" / "sub" / "b.txt").read_text() == ""
+    sinks.write_json_array(rows, str(tmp_path / "json"))
+    assert (tmp_path / "json" / "report.json").read_text() == json.dumps([{"filename": "a.txt", "text": "x"}, {"filename": "sub/b.txt", "text": None}], indent=2)
+    for _ in range(2):
+        sinks.append_csv(spark.createDataFrame([(" x ", 1)], "a string, b int"), str(tmp_path / "log"))
+    assert sorted(line for p in (tmp_path / "log").glob("part-*") for line in p.read_text().splitlines()) == [" x ,1", " x ,1", "a,b"]
+
+
+def test_failures_are_put_aside_and_the_pace_is_set(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    for k in range(3):
+        (tmp_path / "in" / f"{k}.json").write_text(json.dumps({"filename": f"f{k}", "text": "x" * k, "error": "no" if k == 1 else None}))
+    out = tmp_path / "out"
+
+    def run(**more):
+        files = ingest.file_stream(spark, str(tmp_path / "in"), "filename string, text string, error string", files_each=1)
+        return ingest.ingest(files, f"{out}/manifest", f"{out}/pages", f"{out}/checkpoint", failed=f"{out}/failed", **more)
+
+    run().awaitTermination()
+    assert len(list((out / "pages").glob("batch=*"))) == 3  # one file a micro-batch
+    (tmp_path / "in" / "3.json").write_text(json.dumps({"filename": "f1", "text": None, "error": "no"}))
+    query = run(pace="1 second")
+    query.processAllAvailable()
+    query.stop()
+    assert [r.filename for r in spark.read.schema("md5 string, filename string, error string, batch long").parquet(f"{out}/failed").collect()] == ["f1"]
+    assert {r.filename for r in spark.read.schema("md5 string, filename string, text string, batch long").parquet(f"{out}/pages").collect()} == {"f0", "f2"}
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from scriptorium.__main__ import main
+
+    assert main(["schema"]) == 0 and "local_identifier (required)" in capsys.readouterr().out
+    (tmp_path / "in.csv").write_text('local_identifier,title,personal_name\n1,"A, b",jan van dyck\n2,,\n')
+    assert main(["process", str(tmp_path / "in.csv"), str(tmp_path / "out"), "--normalize-names"]) == 0
+    done = next((tmp_path / "out").glob("part-*")).read_text()
+    assert next(csv.reader(io.StringIO(done)))[:2] == ["local_identifier", "title"] and '"Jan van Dyck"' in done
+    assert main(["validate", str(tmp_path / "in.csv"), "--strict", "--details", "1"]) == 1
+    assert "total 2, valid 0, invalid 2" in capsys.readouterr().out
+    assert main(["stats", str(tmp_path / "in.csv"), "--top", "1"]) == 0 and "local_identifier: 2 of 2" in capsys.readouterr().out
+    assert main(["template", str(tmp_path / "blank")]) == 0
