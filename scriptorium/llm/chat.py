@@ -76,7 +76,8 @@ def format_turns(conversations: DataFrame, ranks: str = bpe.RANKS) -> DataFrame:
 def read_back(formatted: DataFrame, ranks: str = bpe.RANKS) -> DataFrame:
     """conv_id, n_turns, turns_sha256, loss_chars, loss_sha256, formatted_chars, from ids and offsets alone.
 
-    The turns of a conversation stream by in order; what a task holds is a batch and two digests.
+    The turns of a conversation stream by in order; what a task holds is a batch and two digests. A digest over all turns
+    needs one conversation in one task, all turns without a conv_id among them, whose sort spills where it is large.
     """
     spark = formatted.sparkSession
     common.small_batches(spark)

@@ -25,8 +25,9 @@ from pyspark.sql import DataFrame
 from . import common
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-#: Words that a Python worker remembers, and pairs of pieces; it then forgets them all and goes on.
-REMEMBERED = 150_000
+#: Words (of LONGEST characters at most: in scripts without spaces a word may be a whole text) that a Python worker
+#: remembers, and pairs of pieces, some 40 MB each; it then forgets them all and goes on.
+REMEMBERED, LONGEST = 150_000, 64
 _MARK = "\u2581"
 _models: dict[int, Model] = {}
 
@@ -159,10 +160,13 @@ class Model:
             self.known.clear()
         if sum(map(len, self.apart.values())) > REMEMBERED:
             self.apart.clear()
-        known = self.known
+        known, once = self.known, {}
         new = set().union(*split).difference(known) if split else set()
-        known.update(self.encode_words(new))
-        return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in split]
+        for word, ids in self.encode_words(new):
+            (known if len(word) <= LONGEST else once)[word] = ids
+        if not once:
+            return [np.frombuffer(b"".join([known[w] for w in words]), np.int32) for words in split]
+        return [np.frombuffer(b"".join([known[w] if w in known else once[w] for w in words]), np.int32) for words in split]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; invalid UTF-8 becomes U+FFFD."""

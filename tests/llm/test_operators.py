@@ -115,6 +115,32 @@ def test_the_unigram_pass_is_viterbi():
         assert "".join(parts) == word and abs(sum(model.scores[p] for p in parts) - best(word)) < 1e-9
 
 
+@needs_models
+def test_a_unigram_model_of_real_size_equals_the_library():
+    """The pieces of the public model under scores of their own, as a unigram model."""
+    import sentencepiece
+    from sentencepiece import sentencepiece_model_pb2
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.ParseFromString(Path(pieces.MODEL).read_bytes())
+    proto.trainer_spec.model_type, rng = 1, random.Random(17)
+    for p in proto.pieces:
+        if p.type == 1:
+            p.score = -6.0 - 5 * rng.random() - 1.5 / len(p.piece)
+    raw = proto.SerializeToString()
+    sp, model = sentencepiece.SentencePieceProcessor(model_proto=raw), pieces.Model(raw)
+    words = ["the", "internationalisation", "été", "Straße", "don't", "x1y2", "日本語", "snow-covered", "a", "I'm", "…"]
+    texts = [" ".join(rng.choices(words, k=rng.randrange(12))) for _ in range(200)] + ["", " ", "  two  spaces "]
+    assert not model.bpe and [x.tolist() for x in model.encode(texts)] == [sp.encode(t) for t in texts]
+
+
+@needs_models
+def test_long_words_are_not_remembered():
+    model = pieces.Model(Path(pieces.MODEL).read_bytes())
+    text = "日本語" * 5000
+    assert model.decode(model.encode([text, "a b"])[0]) == text and max(map(len, model.known)) <= pieces.LONGEST
+
+
 # 3 SimHash
 
 
@@ -293,6 +319,38 @@ def test_shards_are_a_permutation(spark):
     assert sharding.assign(docs.where("false")).count() == 0
 
 
+def plain_permute(x, n, key):
+    """A Feistel network on two halves, walked on while it leaves 0..n-1, in Python's whole numbers."""
+    bits, word = max(1, ((n - 1).bit_length() + 1) // 2), (1 << 64) - 1
+
+    def mix(half, r):
+        z = (half + key * 0x9E3779B97F4A7C15 + r * 0xD1B54A32D192ED03) & word
+        z = (z ^ z >> 30) * 0xBF58476D1CE4E5B9 & word
+        z = (z ^ z >> 27) * 0x94D049BB133111EB & word
+        return (z ^ z >> 31) & (1 << bits) - 1
+
+    while True:
+        left, right = x >> bits, x & (1 << bits) - 1
+        for r in range(sharding.ROUNDS):
+            left, right = right, left ^ mix(right, r)
+        x = left << bits | right
+        if x < n:
+            return x
+
+
+@pytest.mark.parametrize("shards", [7, 40])
+def test_shards_equal_brute_force(spark, shards):
+    rng = random.Random(16)
+    extra = [(rng.randrange(10**9), "t" * rng.randrange(50)) for _ in range(300)]
+    docs = odd(spark).select("doc_id", "text").unionByName(spark.createDataFrame(extra, "doc_id long, text string"))
+    rows = [(r.doc_id, len((r.text or "").encode()) + 16, zlib.crc32((r.text or "").encode())) for r in docs.collect()]
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1], r[2]))
+    places = [plain_permute(k, len(rows), sharding.KEY) for k in range(len(rows))]
+    want = Counter((*r, k, p % shards, p // shards) for k, (r, p) in enumerate(zip(order, places)))
+    got = sharding.assign(docs, shards).collect()
+    assert Counter((r.doc_id, r.size, r.text_crc32, r.row_number, r.shard, r.slot) for r in got) == want
+
+
 def test_permutation_goes_back_and_mixes():
     for n in (1, 2, 3, 5, 1000, 65_537):
         x = np.arange(n)
