@@ -3,6 +3,8 @@
 import base64
 import hashlib
 import random
+import subprocess
+import sys
 import zlib
 from collections import Counter
 from pathlib import Path
@@ -36,6 +38,11 @@ def test_query_agrees_with_sql(spark, name):
     agree(spark, queries.QUERIES[name], queries.SQL[name])
 
 
+def test_a_missing_library_is_not_hidden():
+    code = "import sys; sys.modules['xxhash'] = None; import __spark_entry__"
+    assert subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).resolve().parents[2], capture_output=True).returncode != 0
+
+
 # 1 exact duplicates
 
 
