@@ -30,6 +30,7 @@ def _any(columns: list[Column]) -> Column:
 
 def validate(records: DataFrame) -> DataFrame:
     """records with errors, warnings (arrays) and is_valid. Missing columns count as empty; null counts as empty."""
+    # The texts of the messages.
     errors = [F.when(~_has(records, f), F.lit(f"Required field '{f}' is missing or empty")) for f in values.REQUIRED_FIELDS]
     kind, lang = (F.col(f) if f in records.columns else F.lit(None).cast("string") for f in ("type", "language"))
     known = "[" + ", ".join(f"'{t}'" for t in values.VALID_TYPES) + "]"

@@ -71,9 +71,13 @@ def case_score(name: Column | str) -> Column:
     return F.aggregate(F.transform(tokens(name), of), F.lit(0), lambda a, x: a + x)
 
 
+# What marks a place that stood among the people.
+MOVED = "  [moved from people — review LCSH form]"
+
+
 def moved_suffix(name: Column | str) -> Column:
     """A name of the people list as it goes to the places, marked for review."""
-    return F.concat(col(name), F.lit("  [moved from people — review LCSH form]"))
+    return F.concat(col(name), F.lit(MOVED))
 
 
 def split_people(people: DataFrame, places: DataFrame) -> tuple[DataFrame, DataFrame]:
