@@ -40,8 +40,8 @@ def by_score(rows: DataFrame, ties: list[str], score: str = "similarity_score")
 
 
 def between(rows: DataFrame, start: int, end: int, order: list[Column]) -> DataFrame:
-    """Rows from start to end (exclusive) in the given order."""
-    return numbered(rows, order, "__position")[0].where(F.col("__position").between(start, end - 1)).drop("__position")
+    """Rows from start to end (exclusive) in the given order; only these are sorted again, as files are read in any order."""
+    return numbered(rows, order, "__position")[0].where(F.col("__position").between(start, end - 1)).orderBy("__position").drop("__position")
 
 
 def distinct_sorted(tokens: DataFrame, token: str = "token") -> DataFrame:
