@@ -5,12 +5,13 @@ from __future__ import annotations
 import io
 import zipfile
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import values
 from ..operators import pages
 from ..session import ship
-from ..sources import readers, sinks
+from ..sources import paged, readers, sinks
 from ..storage import fresh_path
 from .inputs import derived, duck
 from .registry import query, read
@@ -272,3 +273,31 @@ def export_order(spark, sf_dir):
     out = ordered_for_export(derived(spark, sf_dir, "records"))
     names = out.columns
     return out.agg(*(F.lit(names[k]).alias(f"c{k}") for k in range(5)), F.lit(len([c for c in names if c in values.FIELDS])).alias("n_fields"), F.count("*").alias("n_rows"))
+
+
+@query("""WITH r AS (SELECT c_nationkey, c_custkey, c_name, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS k, count(*) OVER (PARTITION BY c_nationkey) AS n FROM customer)
+    SELECT CAST(c_nationkey AS VARCHAR) AS portfolio, CAST(k - 1 AS INT) AS place, c_custkey AS gid, c_name AS name, n > 50 AS truncated FROM r WHERE k <= 50""")
+def portfolio_pages(spark, sf_dir):
+    """Items of portfolios, exported in pages of 20 and followed from page to page, 50 of a portfolio at most."""
+    at = F.row_number().over(Window.partitionBy("c_nationkey").orderBy("c_custkey")) - 1
+    rows = read(spark, sf_dir, "customer").select("c_nationkey", F.floor(at / 20).alias("page"), F.struct(F.col("c_custkey").alias("gid"), F.col("c_name").alias("name")).alias("item"))
+    found = rows.groupBy("c_nationkey", "page").agg(F.array_sort(F.collect_list("item")).alias("data"))
+    last = F.max("page").over(Window.partitionBy("c_nationkey"))
+    following = F.when(F.col("page") < last, F.struct((F.col("page") + 1).cast("string").alias("offset"))).alias("next_page")
+    path = fresh_path(spark, "portfolios")
+    named = F.concat(F.col("c_nationkey").cast("string"), F.lit("/"), F.col("page").cast("string"), F.lit(".json"))
+    sinks.write_files(found.select(named.alias("filename"), F.to_json(F.struct("data", following)).alias("text")), path).count()
+    keys = read(spark, sf_dir, "customer").select(F.col("c_nationkey").alias("gid")).distinct()
+    got = paged.paged(keys, paged.exported(path), "gid long, name string", page=20, cap=50)
+    return got.select(F.col("parent").alias("portfolio"), F.col("at").alias("place"), "item.gid", "item.name", "truncated")
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 9 = 0 THEN 'audio' ELSE 'texts' END AS mediatype, doc_id % 2 = 0 AS has_text, 'item' || CAST(doc_id AS VARCHAR) || '.pdf' AS pdf_name
+    FROM documents WHERE doc_id % 5 <> 0""")
+def archive_items(spark, sf_dir):
+    """What an archive says of its items; of every fifth it says nothing."""
+    name = F.concat(F.lit("item"), F.col("doc_id").cast("string"))
+    files = F.array(F.struct(F.concat(name, F.when(F.col("doc_id") % 2 == 0, "_djvu.txt").otherwise(".jp2")).alias("name"), F.lit("x").alias("format")))
+    about = F.struct(F.struct(F.when(F.col("doc_id") % 9 == 0, "audio").otherwise("texts").alias("mediatype")).alias("metadata"), files.alias("files"))
+    rows = read(spark, sf_dir, "documents").select("doc_id", name.alias("identifier"), F.when(F.col("doc_id") % 5 != 0, F.to_json(about)).alias("meta"))
+    return rows.withColumn("x", paged.archive_item("identifier", "meta")).where("x is not null").select("doc_id", "x.*")

@@ -155,3 +155,37 @@ def test_command_line(spark, tmp_path, capsys):
     assert "total 2, valid 0, invalid 2" in capsys.readouterr().out
     assert main(["stats", str(tmp_path / "in.csv"), "--top", "1"]) == 0 and "local_identifier: 2 of 2" in capsys.readouterr().out
     assert main(["template", str(tmp_path / "blank")]) == 0
+
+
+def test_services_in_pages(spark, tmp_path):
+    from scriptorium.sources import paged
+
+    def make():
+        def fetch(key, offset, limit):
+            if key == "broken" and offset:
+                raise OSError("gone")
+            if key == "circle":
+                return [{"n": 0}], "1"
+            at, n = int(offset or 0), {"none": 0, "few": 3, "exact": 6, "broken": 9}.get(key, 50)
+            return [{"n": k} for k in range(at, min(n, at + limit))], str(at + limit) if at + limit < n else None
+
+        return fetch
+
+    keys = spark.createDataFrame([(x,) for x in ["none", "few", "exact", "many", "broken", "circle", None]], "gid string")
+    rows = paged.paged(keys, make, "n int", page=2, cap=6).collect()
+    of = lambda key: sorted((r.at, r.item.n, r.truncated) for r in rows if r.parent == key and r.error is None)
+    assert of("none") == [] and of("few") == [(k, k, False) for k in range(3)] and of("exact") == [(k, k, False) for k in range(6)]
+    assert of("many") == [(k, k, True) for k in range(6)] and len(of("broken")) == 2 and len(of("circle")) == 2
+    assert {(r.parent, r.at, r.item, r.error) for r in rows if r.error} == {("broken", None, None, "OSError: gone"), ("circle", None, None, "ValueError: page 1 comes again")}
+
+    meta = ['{"metadata": {"mediatype": "texts"}, "files": [{"name": "a_djvu.txt"}]}', '{"metadata": {"mediatype": "audio"}}', "{}", "no", None]
+    items = spark.createDataFrame([(f"i{k}", m) for k, m in enumerate(meta)], "identifier string, meta string")
+    got = {r.identifier: r.x and tuple(r.x) for r in items.select("identifier", paged.archive_item("identifier", "meta").alias("x")).collect()}
+    assert got == {"i0": ("texts", True, "i0.pdf"), "i1": ("audio", False, "i1.pdf"), "i2": None, "i3": None, "i4": None}
+
+    def client():
+        return lambda identifier, name: {"a": b"x"}[identifier]
+
+    files = spark.createDataFrame([("a", "f"), ("b", "g")], "identifier string, name string")
+    got = {r.identifier: (r.content and bytes(r.content), r.error) for r in paged.downloads(files, client).collect()}
+    assert got == {"a": (b"x", None), "b": (None, "KeyError: 'b'")}
