@@ -22,7 +22,10 @@ def exact_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group linked by 5-word shingles with a similarity of 0.8 or more, the document with the smallest doc_id."""
+    """Of each group linked by 5-word shingles with a similarity of 0.8 or more, the document with the smallest doc_id.
+
+    Candidates come from the covering tables of SimHash fingerprints and, beyond their radius, from MinHash bands.
+    """
     return shingles.representatives(docs)
 
 

@@ -1,12 +1,13 @@
-"""Near duplicates by the Jaccard similarity of their word shingles.
+"""Near duplicates by SimHash tables and MinHash bands, verified by the Jaccard similarity of their word shingles.
 
 Two texts are linked where their sets of SHINGLE-word runs have a similarity of NUM / DEN or more. Candidates share a
-band of MinHash values: ROWS of them agree with probability s ** ROWS, so at s = 0.8 all of BANDS fail in 1.3e-7 of
-pairs, and above it in fewer. Every candidate pair is verified on the sets themselves, and so no other pair is linked.
-SimHash has no table scheme for this: at 0.8 fingerprints differ by ten bits and more, and a covering of radius 10 has
-2047 tables.
+bucket of one of two kinds. The covering tables of simhash, here over the SimHash fingerprint of the set, hold every
+pair within simhash.RADIUS bits, whatever the hashes of the bands are. At 0.8 fingerprints differ by about ten bits,
+and a covering of radius 10 has 2047 tables; so what lies beyond the radius shares a band of MinHash values: ROWS of
+them agree with probability s ** ROWS, so at s = 0.8 all of BANDS fail in 1.3e-7 of pairs, and above it in fewer.
+Every candidate pair is verified on the sets themselves, and so no other pair is linked.
 
-Only distinct sets enter the bands. Each bucket has a hub, the member that shares most buckets with others, as the
+Only distinct sets enter the buckets. Each bucket has a hub, the member that shares most buckets with others, as the
 original of a group of copies does. All members are compared with their hubs first, which links most of a group of any
 size by one comparison each. Any two members of a bucket have its hub in common; so what is not yet linked to a hub is
 then compared, in blocks, with all that had been compared with it. There a set stands for itself by what it and its
@@ -24,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, simhash
 
 SHINGLE, NUM, DEN, SEED = 5, 4, 5, 42
 BANDS, ROWS = 40, 5
@@ -35,6 +36,8 @@ _rng = np.random.default_rng(SEED)
 _FACTORS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32) | np.uint32(1)
 _OFFSETS = _rng.integers(0, 1 << 32, (BANDS * ROWS, 1), np.uint32)
 _BAND_SEEDS = _rng.integers(0, 1 << 63, BANDS).astype(np.uint64)
+_MASKS = np.array(simhash.covering_masks(), np.uint64)
+_TABLE_SEEDS = _rng.integers(0, 1 << 63, len(_MASKS)).astype(np.uint64)
 
 
 class _Words(dict):
@@ -86,6 +89,22 @@ def bands(hashes: np.ndarray) -> np.ndarray:
     return keys
 
 
+def fingerprint(hashes: np.ndarray) -> int:
+    """The SimHash fingerprint of a set, unsigned: a bit is 1 if set in over half of the hashes; zero of the empty set."""
+    counts = np.zeros(64, np.int64)
+    for a in range(0, len(hashes), _AT_ONCE):
+        raw = hashes[a : a + _AT_ONCE].astype(">u8").view(np.uint8)
+        counts += np.unpackbits(raw).reshape(-1, 64).sum(0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
+
+
+def tables(hashes: np.ndarray) -> np.ndarray:
+    """The keys of a set's bucket in each covering table; none for the empty set. Sets whose fingerprints differ in simhash.RADIUS bits or fewer have one in common."""
+    if not len(hashes):
+        return np.zeros(0, np.uint64)
+    return _mixed((np.uint64(fingerprint(hashes)) & _MASKS) ^ _TABLE_SEEDS)
+
+
 def _node(hashes: np.ndarray) -> int:
     return xxhash.xxh64_intdigest(hashes.tobytes(), SEED)
 
@@ -102,8 +121,8 @@ def _prints(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column(1).to_pylist():
             hashes = shingle_set(text)
             nodes.append(_node(hashes))
-            keys.append(bands(hashes))
-        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), _listed(keys)], names=["doc_id", "node", "bands"])
+            keys.append(np.concatenate((tables(hashes), bands(hashes))))
+        yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(np.array(nodes, np.uint64).view(np.int64)), _listed(keys)], names=["doc_id", "node", "keys"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -172,9 +191,9 @@ def _blocks_linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 
 
 def links(prints: DataFrame, docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """node, component of the nodes that are linked to a smaller one. prints: doc_id, node, bands of docs."""
-    rows = prints.groupBy("node").agg(F.first("bands").alias("bands")).select(F.explode("bands").alias("key"), "node")
-    rows = common.stash(rows, "bands")
+    """node, component of the nodes that are linked to a smaller one. prints: doc_id, node, keys (of its buckets) of docs."""
+    rows = prints.groupBy("node").agg(F.first("keys").alias("keys")).select(F.explode("keys").alias("key"), "node")
+    rows = common.stash(rows, "keys")
     met = common.stash(rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"), "buckets")
     few = common.hinted(met)
     members = common.stash((common.spread_join(rows, met, ["key"]) if few is met else rows.join(few, "key")).select("key", "node", "n"), "members")
@@ -221,7 +240,7 @@ def near_groups(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     the smallest doc_id reachable over links, null where the component has none. No rows give no rows.
     """
     common.small_batches(docs.sparkSession)
-    prints = common.stash(docs.select("doc_id", "text").mapInArrow(common.lean(_prints), "doc_id long, node long, bands array<long>"), "prints")
+    prints = common.stash(docs.select("doc_id", "text").mapInArrow(common.lean(_prints), "doc_id long, node long, keys array<long>"), "prints")
     found = links(prints, docs, block)
     of = prints.groupBy("node").agg(F.min("doc_id").alias("least")).join(found, "node", "left").select("node", "least", F.coalesce("component", "node").alias("c"))
     of = common.stash(of, "nodes")

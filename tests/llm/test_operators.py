@@ -237,6 +237,44 @@ def test_near_copies_of_the_pipeline_equal_brute_force(spark):
     assert kept != {r.doc_id for r in simhash.representatives(docs).collect()}
 
 
+def test_fingerprints_of_sets_equal_a_plain_vote():
+    for text in ["", "one", "a b", "a b c d e f g", LONG]:
+        hashes = shingles.shingle_set(text)
+        want = sum(1 << i for i in range(64) if 2 * sum(h >> i & 1 for h in hashes.tolist()) > len(hashes))
+        assert shingles.fingerprint(hashes) == want
+        assert len(shingles.tables(hashes)) == (15 if text else 0)
+
+
+def evading(seed):
+    """A text of 600 words and a copy, with words appended until the two have no MinHash band in common."""
+    rng = random.Random(seed)
+    words = [f"w{rng.randrange(5000)}" for _ in range(600)]
+    first, own = " ".join(words), shingles.bands(shingles.shingle_set(" ".join(words)))
+    left = len(own)
+    while left:
+        more = [*words, f"z{rng.randrange(10**6)}"]
+        now = int((shingles.bands(shingles.shingle_set(" ".join(more))) == own).sum())
+        if now < left:
+            words, left = more, now
+    return first, " ".join(words)
+
+
+def test_near_copies_that_no_band_holds_meet_in_a_covering_table(spark):
+    texts = [t for seed in (0, 1, 5) for t in evading(seed)]
+    sets = [shingles.shingle_set(t) for t in texts]
+    for x, y in zip(sets[::2], sets[1::2]):
+        assert not set(shingles.bands(x).tolist()) & set(shingles.bands(y).tolist())
+    rows = list(enumerate(texts))
+    want = plain_near(rows)
+    assert want == {0: 0, 1: 0, 2: 2, 3: 2, 4: 4, 5: 4}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in shingles.near_groups(docs).collect()} == want
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {0, 2, 4}
+    for x, y in zip(sets[::2], sets[1::2]):
+        assert (shingles.fingerprint(x) ^ shingles.fingerprint(y)).bit_count() <= simhash.RADIUS
+        assert set(shingles.tables(x).tolist()) & set(shingles.tables(y).tolist())
+
+
 # 4 WARC
 
 
