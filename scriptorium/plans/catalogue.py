@@ -515,7 +515,9 @@ def _spelt(c: str) -> str:
 def html_text_stats(spark, sf_dir):
     """Title, lines and digest of the visible text of each page."""
     rows = html_texts(_read(spark, sf_dir, "pages"))
-    return rows.select("page_id", F.col("html_title").alias("title"), F.size(F.split("html_text", "\n")).cast("long").alias("lines"), F.md5(F.col("html_text").cast("binary")).alias("text_md5"))
+    title = F.when(F.col("html").isNotNull(), F.col("html_title"))
+    lines = F.when(F.col("html_text") == "", 0).otherwise(F.size(F.split("html_text", "\n")))
+    return rows.select("page_id", title.alias("title"), lines.cast("long").alias("lines"), F.md5(F.col("html_text").cast("binary")).alias("text_md5"))
 
 
 @query("SELECT md5(coalesce(text, '')) AS md5, min(CAST(doc_id AS VARCHAR)) AS filename FROM documents GROUP BY 1")

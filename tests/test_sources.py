@@ -189,3 +189,21 @@ def test_services_in_pages(spark, tmp_path):
     files = spark.createDataFrame([("a", "f"), ("b", "g")], "identifier string, name string")
     got = {r.identifier: (r.content and bytes(r.content), r.error) for r in paged.downloads(files, client).collect()}
     assert got == {"a": (b"x", None), "b": (None, "KeyError: 'b'")}
+
+
+def test_only_whole_references_are_spelt_out(spark):
+    page = "<html><head><title>a&amp;&amp</title></head><body><h1>b&amp;&amp</h1>&copy; &quot &am &unknown; &copyx; <!-- &amp --><script>&amp</script>&</body></html>"
+    assert readers.html_text(page) == ("b&&amp\n© &quot &am &unknown; &copyx;\n&", "a&&amp")
+    rows = readers.html_texts(spark.createDataFrame([(1, page), (2, None)], "page_id int, html string"))
+    assert {r.page_id: r.html_title for r in rows.collect()} == {1: "a&&amp", 2: ""}
+
+
+def test_pages_without_text_agree_with_sql(spark, tmp_path):
+    from scriptorium.plans import catalogue
+
+    from .helpers import agree
+
+    rows = [(1, None), (2, ""), (3, "<html><head><title> T&amp </title></head><body><script>x</script></body></html>"), (4, "<p>a&amp</p>&middot;\n b")]
+    spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "pages.parquet")
+    agree(spark, catalogue.QUERIES["html_text_stats"], catalogue.SQL["html_text_stats"], tmp_path)
