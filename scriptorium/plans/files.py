@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import io
 import zipfile
+from functools import reduce
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import values
@@ -196,8 +197,7 @@ def _uploads(spark, sf_dir):
     line = lambda text, top: F.struct(text.alias("text"), F.lit(10.0).alias("left"), F.lit(top).alias("top"), F.lit(200.0).alias("width"), F.lit(16.0).alias("height"))
     page = F.array(line(F.concat(F.lit("Page ("), "n", F.lit(")")), 10.0), line(F.concat(F.lit("by "), "source"), 30.0))
     scans = sinks.searchable_pages(of("pdf").select(name, F.concat(F.lit("T"), "n").alias("title"), F.array(page, page).alias("pages")))
-    for part in (plain, table, web, mail, word, open_text, scans):
-        sinks.write_files(part, path, content="content")
+    sinks.write_files(reduce(DataFrame.unionByName, (plain, table, web, mail, word, open_text, scans)), path, content="content")
     return readers.ingest_files(spark, path, [*readers.EXTRACTORS, "xyz"])
 
 

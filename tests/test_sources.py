@@ -207,3 +207,24 @@ def test_pages_without_text_agree_with_sql(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, html string").coalesce(1).write.parquet(str(tmp_path / "written"))
     next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "pages.parquet")
     agree(spark, catalogue.QUERIES["html_text_stats"], catalogue.SQL["html_text_stats"], tmp_path)
+
+
+def test_small_files_are_dealt_over_the_cores_and_found_as_spark_finds_them(spark, tmp_path):
+    for name in [f"n{k}.txt" for k in range(400)] + ["_no.txt", ".no.txt", "a=b.txt", "sub/deep.txt", "_sub/no.txt", "sub/.no/no.txt", "sub/ä b%20.txt", "empty.txt"]:
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_bytes(b"" if name == "empty.txt" else name.encode() + b"\xff")
+    for deep in (False, True):
+        own = readers.contents(spark, str(tmp_path), "*.txt", deep)
+        theirs = spark.read.format("binaryFile").option("pathGlobFilter", "*.txt").option("recursiveFileLookup", str(deep).lower()).load(str(tmp_path))
+        assert own.rdd.getNumPartitions() <= 2 * spark.sparkContext.defaultParallelism < theirs.rdd.getNumPartitions()
+        # Spark's reader leaves empty files out
+        assert sorted(own.where("content <> X''").collect()) == sorted(theirs.select("path", "content").collect())
+        assert [r.path for r in own.where("content = X''").collect()] == [f"file:{tmp_path}/empty.txt"]
+
+
+def test_patterns_and_partitions_of_folders_are_left_as_they_were(spark, tmp_path):
+    (tmp_path / "k=1").mkdir()
+    (tmp_path / "k=1" / "x.txt").write_text("x")
+    assert [r.filename for r in readers.text_documents(spark, str(tmp_path)).collect()] == ["x.txt"]
+    assert [r.filename for r in readers.text_documents(spark, f"{tmp_path}/*").collect()] == ["x.txt"]
+    assert [r.filename for r in readers.text_documents(spark, str(tmp_path / "k=1"), "{x,y}.txt").collect()] == ["x.txt"]
