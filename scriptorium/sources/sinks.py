@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from functools import partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -72,6 +73,8 @@ def write_files(rows: DataFrame, folder: str, name: str = "filename", content: s
         from pyarrow import fs
 
         system, top = fs.FileSystem.from_uri(folder) if ":" in folder else (fs.LocalFileSystem(), folder)
+        # on a mounted folder Arrow's stream takes ten times as long as a plain file, and no less on more cores
+        create = partial(open, mode="wb") if isinstance(system, fs.LocalFileSystem) else partial(system.open_output_stream, compression=None)
         made: set[str] = set()
         for batch in batches:
             paths, sizes = [], []
@@ -82,7 +85,7 @@ def write_files(rows: DataFrame, folder: str, name: str = "filename", content: s
                 if parent not in made:
                     system.create_dir(parent, recursive=True)
                     made.add(parent)
-                with system.open_output_stream(at, compression=None) as out:
+                with create(at) as out:
                     out.write(data)
                 paths.append(f"{folder}/{file}")
                 sizes.append(len(data))
