@@ -1,15 +1,20 @@
 """Cleaning of OCR text: gutters, noise lines, paragraphs and words split across lines.
 
-A document is cleaned inside its own row, by higher-order functions and regular expressions over its lines; nothing
-is shuffled.
+A document is cleaned inside its own row, by Arrow's compute functions over the lines of a batch; nothing is shuffled.
 """
 
 from __future__ import annotations
 
+from itertools import pairwise
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, WS_IN_LINE, col, let, strip, tokens
+from ..session import ship
 
 #: Shortest word, length from which a line is trusted.
 SHORTEST_WORD, LONG_LINE = 3, 30
@@ -41,40 +46,73 @@ def strip_gutter(line: Column | str) -> Column:
     return F.regexp_replace(F.regexp_replace(col(line), rf"\A[{WS}_|~]+", ""), r"\A- ([A-Za-z])", "$1")
 
 
+#: The characters of WS, for trims that take them one by one.
+_SPACES = "".join(c for c in map(chr, range(0x3001)) if c.isspace())
+_CLEANED = "clean_text string, original_lines int, noise_removed int, artifacts_stripped int, hyphens_resolved int, output_paragraphs int"
+#: Bytes of text that are cleaned at once.
+_AT_ONCE = 4 << 20
+
+
+def _noise(s: pa.Array) -> pa.Array:
+    """is_noise of stripped lines, in Arrow."""
+    size = pc.utf8_length(s)
+    short = pc.and_(pc.greater_equal(size, SHORTEST_WORD), pc.less(size, LONG_LINE))
+    t, length = s.filter(short), size.filter(short)
+    scraps, words = pc.count_substring_regex(t, "[A-Za-z]+"), pc.count_substring_regex(t, f"[A-Za-z]{{{SHORTEST_WORD},}}")
+    known = pc.utf8_length(pc.replace_substring_regex(t, r"[^\p{L}\p{N}]+", ""))
+    scrappy = pc.greater(pc.multiply(5, pc.subtract(scraps, words)), pc.multiply(3, scraps))
+    bad = pc.or_(pc.or_(pc.equal(words, 0), scrappy), pc.less(pc.multiply(5, known), pc.multiply(2, length)))
+    return pc.replace_with_mask(pc.and_(pc.greater(size, 0), pc.less(size, SHORTEST_WORD)), short, bad)
+
+
+def _clean(texts: pa.Array) -> pa.StructArray:
+    """Clean text and counters of texts: all lines of all texts at once, by Arrow's compute functions."""
+    lists = pc.split_pattern(texts, "\n")
+    lines = lists.flatten()
+    ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))
+    starts = np.concatenate(([0], ends))[:-1]
+    cut = pc.replace_substring_regex(pc.utf8_ltrim(lines, _SPACES + "_|~"), r"\A- ([A-Za-z])", r"\1")
+    full, s = pc.not_equal(pc.utf8_trim(lines, _SPACES), ""), pc.utf8_trim(cut, _SPACES)
+    noise = _noise(s)
+    kept = pc.if_else(pc.or_(noise, pc.equal(s, "")), "", cut)
+
+    def total(flags: pa.Array) -> pa.Array:
+        return pa.array(np.add.reduceat(flags.to_numpy(zero_copy_only=False).astype("int32"), starts), pa.int32())
+
+    def joined(parts: pa.Array, ends: np.ndarray, by: str) -> pa.Array:
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)), pa.int32()), parts), by)
+
+    whole = pc.replace_substring_regex(joined(kept, ends, "\n"), _BROKEN, rf"\1\2{_KEEP}")
+    whole = pc.replace_substring(pc.replace_substring_regex(whole, rf"[{WS_IN_LINE}]+(\n|\z)", r"\1"), _KEEP, "")
+    blocks = pc.split_pattern_regex(whole, "\n\n+")
+    parts, of = blocks.flatten(), pc.list_parent_indices(blocks)
+    some = pc.not_equal(pc.utf8_trim(parts, _SPACES), "")
+    paragraphs = np.bincount(of.filter(some).to_numpy(), minlength=len(texts))
+    clean_text = joined(pc.replace_substring(pc.utf8_trim(parts.filter(some), "\n"), "\n", " "), np.cumsum(paragraphs), "\n\n")
+    hyphens = pc.match_substring_regex(kept, rf"[A-Za-z]-[{WS}]*\z")
+    counters = [pa.array(ends - starts, pa.int32()), total(noise), total(pc.and_(full, pc.not_equal(cut, lines))), total(hyphens), pa.array(paragraphs, pa.int32())]
+    return pa.StructArray.from_arrays([clean_text, *counters], names=[c.split()[0] for c in _CLEANED.split(", ")])
+
+
+def _clean_batch(texts: pa.Array) -> pa.Array:
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    piece = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype="int64") // _AT_ONCE
+    cuts = [0, *(np.flatnonzero(np.diff(piece)) + 1).tolist(), len(texts)] if len(texts) else [0]
+    found = [_clean(texts.slice(x, y - x)) for x, y in pairwise(cuts)]
+    kind = pa.struct([(c.split()[0], pa.string() if c.endswith("string") else pa.int32()) for c in _CLEANED.split(", ")])
+    return pa.concat_arrays(found) if found else pa.array([], kind)
+
+
 def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with clean_text and stats: original_lines, noise_removed, artifacts_stripped, hyphens_resolved, output_paragraphs.
 
     Null text counts as empty. hyphens_resolved counts every line of a paragraph that ends in a hyphen behind a
     letter, joined or not.
     """
-    lines = F.split(F.coalesce(text, F.lit("")), "\n", -1)
-
-    def looked_at(line: Column) -> Column:
-        def judged(cut: Column) -> Column:
-            return let(~blank & is_noise(cut), lambda noise: F.struct(
-                (~blank & (cut != line)).alias("stripped"), noise.alias("noise"), F.when(noise | ~cut.rlike(f"[^{WS}]"), "").otherwise(cut).alias("line")
-            ))
-
-        blank = ~line.rlike(f"[^{WS}]")
-        return let(strip_gutter(line), judged)
-
-    rows = docs.withColumn("__lines", F.transform(lines, looked_at))
-    rows = rows.withColumn("__kept", F.transform("__lines", lambda x: x["line"]))
-    joined = F.regexp_replace(F.array_join("__kept", "\n"), _BROKEN, f"$1$2{_KEEP}")
-    trimmed = F.regexp_replace(joined, rf"[{WS_IN_LINE}]+(\n|\z)", "$1")
-    blocks = F.filter(F.split(F.replace(trimmed, F.lit(_KEEP), F.lit("")), "\n\n+"), lambda b: b.rlike(f"[^{WS}]"))
-    paragraphs = F.transform(blocks, lambda b: F.translate(F.regexp_replace(b, r"\A\n+|\n+\z", ""), "\n", " "))
-
-    def total(field: str) -> Column:
-        return F.size(F.filter("__lines", lambda x: x[field]))
-
-    hyphens = F.size(F.filter("__kept", lambda x: x.rlike(rf"[A-Za-z]-[{WS}]*\z")))
-    rows = rows.withColumn("__paragraphs", paragraphs)
-    stats = F.struct(
-        F.size("__lines").alias("original_lines"), total("noise").alias("noise_removed"), total("stripped").alias("artifacts_stripped"),
-        hyphens.alias("hyphens_resolved"), F.size("__paragraphs").alias("output_paragraphs"),
-    )
-    return rows.withColumn("clean_text", F.array_join("__paragraphs", "\n\n")).withColumn("stats", stats).drop("__lines", "__kept", "__paragraphs")
+    ship(docs.sparkSession)
+    rows = docs.withColumn("__cleaned", F.arrow_udf(_clean_batch, _CLEANED)(F.col(text)))
+    stats = F.struct(*(F.col(f"__cleaned.{c.split()[0]}") for c in _CLEANED.split(", ")[1:]))
+    return rows.withColumn("clean_text", F.col("__cleaned.clean_text")).withColumn("stats", stats).drop("__cleaned")
 
 
 # Ligatures and what they stand for.
