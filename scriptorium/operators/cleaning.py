@@ -10,7 +10,7 @@ from itertools import pairwise
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, WS_IN_LINE, col, let, strip, tokens
@@ -65,7 +65,7 @@ def _noise(s: pa.Array) -> pa.Array:
     return pc.replace_with_mask(pc.and_(pc.greater(size, 0), pc.less(size, SHORTEST_WORD)), short, bad)
 
 
-def _clean(texts: pa.Array) -> pa.StructArray:
+def _clean(texts: pa.Array) -> pa.Array:
     """Clean text and counters of texts: all lines of all texts at once, by Arrow's compute functions."""
     lists = pc.split_pattern(texts, "\n")
     lines = lists.flatten()
@@ -110,7 +110,7 @@ def clean(docs: DataFrame, text: str = "text") -> DataFrame:
     letter, joined or not.
     """
     ship(docs.sparkSession)
-    rows = docs.withColumn("__cleaned", F.arrow_udf(_clean_batch, _CLEANED)(F.col(text)))
+    rows = docs.withColumn("__cleaned", F.arrow_udf(_clean_batch, _CLEANED)(F.make_valid_utf8(F.col(text))))
     stats = F.struct(*(F.col(f"__cleaned.{c.split()[0]}") for c in _CLEANED.split(", ")[1:]))
     return rows.withColumn("clean_text", F.col("__cleaned.clean_text")).withColumn("stats", stats).drop("__cleaned")
 
@@ -129,20 +129,26 @@ def repair(text: Column | str) -> Column:
     return F.regexp_replace(out, "\n{3,}", "\n\n")
 
 
+def _counted(texts: pa.Array) -> pa.Array:
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    dense = pc.replace_substring_regex(texts, f"[{WS}]+", "")
+    counts = [pc.count_substring_regex(texts, f"[^{WS}]+"), pc.utf8_length(pc.replace_substring_regex(dense, r"\P{L}+", "")), pc.utf8_length(dense)]
+    return pa.StructArray.from_arrays([c.cast(pa.int32()) for c in counts], names=["words", "letters", "signs"])
+
+
 def quality(text: Column | str) -> Column:
     """words, letters, signs (without white space) and letters of words, from which the gates below are drawn."""
-    words = tokens(F.coalesce(col(text), F.lit("")))
-    dense = F.regexp_replace(F.coalesce(col(text), F.lit("")), f"[{WS}]", "")
-    return F.struct(F.size(words).alias("words"), F.length(F.regexp_replace(dense, r"\P{L}", "")).alias("letters"), F.length(dense).alias("signs"))
+    ship(SparkSession.active())
+    return F.arrow_udf(_counted, "words int, letters int, signs int")(F.make_valid_utf8(col(text)))
 
 
-def page_ok(text: Column | str, words: int = 15, share: float = 0.45, mean: float = 2.0) -> Column:
-    """Whether a page's OCR is usable: enough words, mostly letters, words of two characters on average."""
-    return let(quality(text), lambda q: (q["words"] >= words) & (q["signs"] > 0) & (q["letters"] >= share * q["signs"]) & (q["signs"] >= mean * q["words"]))
+def page_ok(text: Column | str, words: int = 15, share: float = 0.45, mean: float = 2.0, counted: Column | None = None) -> Column:
+    """Whether a page's OCR is usable: enough words, mostly letters, words of two characters on average. counted: the text's quality, where a query has it already."""
+    return let(quality(text) if counted is None else counted, lambda q: (q["words"] >= words) & (q["signs"] > 0) & (q["letters"] >= share * q["signs"]) & (q["signs"] >= mean * q["words"]))
 
 
-def document_ok(text: Column | str, words: int = 100, share: float = 0.40) -> Column:
-    """ok and reason for the OCR of a whole document."""
+def document_ok(text: Column | str, words: int = 100, share: float = 0.40, counted: Column | None = None) -> Column:
+    """ok and reason for the OCR of a whole document. counted: the text's quality, where a query has it already."""
 
     def judged(q: Column) -> Column:
         part = q["letters"] / F.nullif(q["signs"], F.lit(0))
@@ -154,9 +160,12 @@ def document_ok(text: Column | str, words: int = 100, share: float = 0.40) -> Co
             .when(part < share, F.concat(F.lit("alpha ratio too low ("), ratio, F.lit(f" < {share})"))).otherwise(F.concat(F.format_string("%,d", q["words"]), F.lit(" words, alpha="), ratio)).alias("reason"),
         )
 
-    return let(quality(text), judged)
+    return let(quality(text) if counted is None else counted, judged)
 
 
 def is_scan(text: Column | str, least: int = 100) -> Column:
     """Whether extracted text is so short that the file must be a scan."""
-    return F.length(F.regexp_replace(F.coalesce(col(text), F.lit("")), "[ \n\t]", "")) < least
+    dense = F.coalesce(col(text), F.lit(""))
+    for c in " \n\t":
+        dense = F.replace(dense, F.lit(c), F.lit(""))
+    return F.length(dense) < least

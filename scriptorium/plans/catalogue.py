@@ -74,9 +74,9 @@ _DENSE = o.rx("coalesce(text, '')", "[" + o.WS + "]")
         length({o.rx('text', '[ \n\t]')}) < 100 AS is_scan FROM q""")
 def ocr_quality_gate(spark, sf_dir):
     """Whether the text of each document would pass as a page and as a document, and whether it looks like a scan."""
-    docs = _documents(spark, sf_dir).withColumn("d", cleaning.document_ok("text"))
+    docs = _documents(spark, sf_dir).withColumn("q", cleaning.quality("text")).withColumn("d", cleaning.document_ok("text", counted=F.col("q")))
     why = F.when(F.startswith("d.reason", F.lit("too few")), "few").when(F.startswith("d.reason", F.lit("no ")), "blank").when(F.startswith("d.reason", F.lit("alpha")), "noisy").otherwise("good")
-    return docs.select("doc_id", cleaning.page_ok("text").alias("page_ok"), F.col("d.ok").alias("document_ok"), why.alias("reason"), cleaning.is_scan("text").alias("is_scan"))
+    return docs.select("doc_id", cleaning.page_ok("text", counted=F.col("q")).alias("page_ok"), F.col("d.ok").alias("document_ok"), why.alias("reason"), cleaning.is_scan("text").alias("is_scan"))
 
 
 _BARE = o.rx("w", r"[.,;:]+\z")
