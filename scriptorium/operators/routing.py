@@ -42,9 +42,10 @@ def page_routes(pages: DataFrame) -> DataFrame:
 
     Where the first page fails under the fast engine, the document goes to the other; else each page that fails does.
     """
-    first = pages.groupBy("doc").agg(F.min_by(page_ok("quick"), "page").alias("__first"))
-    routed = pages.join(first, "doc").withColumn("engine", F.when(F.col("__first") & page_ok("quick"), "quick").otherwise("slow"))
-    return routed.withColumn("text", F.when(F.col("engine") == "quick", F.col("quick")).otherwise(F.col("slow"))).drop("__first")
+    judged = pages.withColumn("__ok", page_ok("quick"))
+    first = judged.groupBy("doc").agg(F.min_by("__ok", "page").alias("__first"))
+    routed = judged.join(first, "doc").withColumn("engine", F.when(F.col("__first") & F.col("__ok"), "quick").otherwise("slow"))
+    return routed.withColumn("text", F.when(F.col("engine") == "quick", F.col("quick")).otherwise(F.col("slow"))).drop("__first", "__ok")
 
 
 def document_methods(routed: DataFrame) -> DataFrame:
