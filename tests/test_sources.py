@@ -228,3 +228,14 @@ def test_patterns_and_partitions_of_folders_are_left_as_they_were(spark, tmp_pat
     assert [r.filename for r in readers.text_documents(spark, str(tmp_path)).collect()] == ["x.txt"]
     assert [r.filename for r in readers.text_documents(spark, f"{tmp_path}/*").collect()] == ["x.txt"]
     assert [r.filename for r in readers.text_documents(spark, str(tmp_path / "k=1"), "{x,y}.txt").collect()] == ["x.txt"]
+
+
+def test_issues_without_text_are_read_back(spark, tmp_path):
+    from scriptorium.plans import catalogue
+
+    from .helpers import agree
+
+    rows = [(0, "a"), (1, ""), (3, None), (2, "no issue"), (4, "b\né")]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(str(tmp_path / "written"))
+    next((tmp_path / "written").glob("*.parquet")).rename(tmp_path / "documents.parquet")
+    agree(spark, catalogue.QUERIES["issues_scan"], catalogue.SQL["issues_scan"], tmp_path)
